@@ -4,23 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import quality
+from spindrift.llm import exact_dedup, quality
 from spindrift.session import table
 
 #: Words of the contracts, as DuckDB regular expressions.
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents; the largest doc_id stays."""
+    found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
+    return found.withColumnRenamed("digest", "text_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements and verdicts of every document under policy v1."""
     return quality.quality_filter(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op1_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+""",
     "op8_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 s AS (SELECT k, doc_id, text, regexp_extract_all(text, '{_WORD}') AS w,
