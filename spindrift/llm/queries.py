@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spindrift.llm import exact_dedup, quality
+from spindrift.llm import bpe, exact_dedup, quality
 from spindrift.session import table
 
 #: Words of the contracts, as DuckDB regular expressions.
@@ -17,6 +18,24 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("digest", "text_sha256")
 
 
+def word_vocabulary() -> str:
+    """The vocabulary file of the contract; other files go to the operator by their own path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded strings of every document, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_rows(docs, word_vocabulary()).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements and verdicts of every document under policy v1."""
     return quality.quality_filter(table(spark, sf_dir, "documents"))
@@ -24,6 +43,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op6_bpe": op6_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
 
