@@ -18,6 +18,7 @@ import json
 import re as stdre
 import struct
 import unicodedata
+import uuid
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -210,7 +211,8 @@ def unpack(ids: bytes) -> array:
     return found
 
 
-_LOADED: dict[int, WordBpe] = {}
+#: The tokenizer that this worker has at hand, by the broadcast it came with.
+_LOADED: dict[str, WordBpe] = {}
 
 
 def encode_rows(docs: DataFrame, vocabulary: str, text: str = "text", decode: bool = True) -> DataFrame:
@@ -221,12 +223,12 @@ def encode_rows(docs: DataFrame, vocabulary: str, text: str = "text", decode: bo
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as file:
         spec = spark.sparkContext.broadcast(json.load(file))
+    key = uuid.uuid4().hex
     new = ["ids", "decoded"] if decode else ["ids"]
     kept = [f for f in docs.schema.fields if f.name not in new]
     schema = T.StructType([*kept, T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if decode else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = spec.id
         if key not in _LOADED:
             _LOADED.clear()
             _LOADED[key] = WordBpe(spec.value)
