@@ -19,16 +19,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.llm.shared import MemberFilter, attach
 from spindrift.session import scratch
 
-#: Bits of the filter over repeated digests: 16 for each, within these bounds. It is broadcast as
-#: 64-bit words, so never more than MOST_BITS / 64 rows. False hits cost time only.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
-#: A digest with over 1/HOT_SHARE of all rows is hot. There can be no more than HOT_SHARE of them,
-#: which bounds what is broadcast.
-HOT_SHARE = 256
-
-
 def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
@@ -74,14 +67,8 @@ class _Verified:
         self.index.ingest(docs, doc_id, text)
         level1 = self.index.compact(keep)
         repeated = level1.where("n > 1")
-        size = level1.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") > 1).alias("repeated")).first()
-        self.rows = size["rows"]
-        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * size["repeated"]).bit_length()))
-        self.filter = (
-            repeated.select(self._at("digest").alias("b"))
-            .groupBy((F.col("b") / 64).cast("int").alias("w"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("word"))
-        )
+        self.rows = level1.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        self.filter = MemberFilter(repeated, "digest")
         hits = self.split(docs).where("hit")
         groups = hits.groupBy("digest", "text").agg(_BEST[keep]("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         path = scratch(self.spark, "digest-verified")
@@ -91,28 +78,14 @@ class _Verified:
         self.collided = self.groups.groupBy("digest").count().where("count > 1").select("digest")
         self.collides = not self.collided.isEmpty()
 
-    def _at(self, digest: str) -> Column:
-        return F.pmod(F.xxhash64(digest), F.lit(self.bits))
-
     def split(self, docs: DataFrame, *others: Column) -> DataFrame:
         """``id, text, digest`` and ``hit``: whether the filter has the digest. Nothing moves."""
         rows = docs.select(F.col(f"`{self.doc_id}`").alias("id"), F.coalesce(F.col(f"`{self.text}`"), F.lit("")).alias("text"), *others)
-        rows = rows.withColumn("digest", self.digest(F.col("text"))).withColumn("b", self._at("digest"))
-        probed = rows.withColumn("w", (F.col("b") / 64).cast("int")).join(F.broadcast(self.filter), "w", "left")
-        return probed.withColumn("hit", F.expr("coalesce(shiftright(word, CAST(b % 64 AS INT)) & 1L = 1L, false)")).drop("w", "b", "word")
+        return self.filter.mark(rows.withColumn("digest", self.digest(F.col("text"))), "digest")
 
     def label(self, rows: DataFrame) -> DataFrame:
-        """Adds ``keep_id, group_size`` to rows with ``digest``; null for what isn't repeated.
-
-        Hot digests are labelled where they are; the others meet their group by digest, none of
-        which has over 1/HOT_SHARE of all rows.
-        """
-        groups = self.groups.where("group_size > 1")
-        hot = F.col("group_size") * HOT_SHARE > self.rows
-        marked = rows.join(F.broadcast(groups.where(hot).withColumnsRenamed({"keep_id": "hot_id", "group_size": "hot_size"})), "digest", "left")
-        there = marked.where("hot_size IS NOT NULL").withColumnsRenamed({"hot_id": "keep_id", "hot_size": "group_size"})
-        others = marked.where("hot_size IS NULL").drop("hot_id", "hot_size").join(groups.where(~hot), "digest", "left")
-        return others.unionByName(there)
+        """Adds ``keep_id, group_size`` to rows with ``digest``; null for what isn't repeated."""
+        return attach(rows, self.groups.where("group_size > 1"), "digest", "group_size", self.rows)
 
 
 def exact_groups(docs: DataFrame, keep: str = "min", doc_id: str = "doc_id", text: str = "text", digest=sha256_hex) -> DataFrame:

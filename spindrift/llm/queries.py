@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, quality
+from spindrift.llm import bpe, exact_dedup, minhash, quality
 from spindrift.session import table
 
 #: Words of the contracts, as DuckDB regular expressions.
@@ -18,6 +18,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("digest", "text_sha256")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over all documents: 4-word shingles, similarity 0.8."""
+    return minhash.near_groups(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def word_vocabulary() -> str:
     """The vocabulary file of the contract; other files go to the operator by their own path."""
     import public_tokenizers
@@ -43,6 +48,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_minhash": op2_minhash,
     "op6_bpe": op6_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
