@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, minhash, quality
+from spindrift.llm import bpe, exact_dedup, minhash, mixing, quality
 from spindrift.session import table
 
 #: Words of the contracts, as DuckDB regular expressions.
@@ -23,6 +23,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of every document in a mixture by tempered source weights."""
+    return mixing.mix_tempered(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def word_vocabulary() -> str:
     """The vocabulary file of the contract; other files go to the operator by their own path."""
     import public_tokenizers
@@ -49,6 +54,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash": op2_minhash,
+    "op4_pfair_mix": op4_pfair_mix,
     "op6_bpe": op6_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
