@@ -43,14 +43,9 @@ def chunk_table(pages: DataFrame, version: str = "1.1", min_chars: int = MIN_CHA
 
 def page_stats(judged: DataFrame) -> DataFrame:
     """Page counters per document, for documents that have pages."""
-    n = lambda *v: F.count_if(F.col("verdict").isin(*v)).alias(v[0] if len(v) == 1 else "kept_all")
-    return judged.groupBy("pdf_name").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("verdict").startswith("kept")).alias("kept"),
-        n("dropped_garbled").alias("dropped_garbled"),
-        n("kept_garbled").alias("kept_garbled"),
-        n("short").alias("short"),
-    )
+    of = lambda verdict: F.count_if(F.col("verdict") == verdict).alias(verdict)
+    kept = F.count_if(F.col("verdict").startswith("kept")).alias("kept")
+    return judged.groupBy("pdf_name").agg(F.count(F.lit(1)).alias("total"), kept, of("dropped_garbled"), of("kept_garbled"), of("short"))
 
 
 def high_garble(stats: DataFrame, share: float = ALERT) -> DataFrame:
