@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, minhash, mixing, quality
+from spindrift.llm import bpe, exact_dedup, lm, minhash, mixing, quality
 from spindrift.session import table
 
 #: Words of the contracts, as DuckDB regular expressions.
@@ -28,6 +28,12 @@ def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_tempered(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document; a seventh of them is held out."""
+    docs, held_out = table(spark, sf_dir, "documents"), lm.fold(7, 2)
+    return lm.score(docs, lm.train(docs, held_out), held_out)
+
+
 def word_vocabulary() -> str:
     """The vocabulary file of the contract; other files go to the operator by their own path."""
     import public_tokenizers
@@ -55,6 +61,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash": op2_minhash,
     "op4_pfair_mix": op4_pfair_mix,
+    "op5_lm": op5_lm,
     "op6_bpe": op6_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
