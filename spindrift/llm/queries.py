@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, lm, minhash, mixing, quality
+from spindrift.llm import bpe, exact_dedup, langid, lm, minhash, mixing, quality
 from spindrift.session import table
 
 #: Words of the contracts, as DuckDB regular expressions.
@@ -57,12 +57,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_filter(table(spark, sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a quarter of them is held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs, lm.fold(4, 2)))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash": op2_minhash,
     "op4_pfair_mix": op4_pfair_mix,
     "op5_lm": op5_lm,
     "op6_bpe": op6_bpe,
+    "op10_langid": op10_langid,
     "op8_quality_rules": op8_quality_rules,
 }
 
