@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, langid, lm, minhash, mixing, quality
+from spindrift.llm import bpe, exact_dedup, langid, lm, minhash, mixing, quality, suffix_dedup
 from spindrift.session import table
 
 #: Words of the contracts, as DuckDB regular expressions.
@@ -23,6 +23,18 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated 400-byte strings."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot of every document in a mixture by tempered source weights."""
     return mixing.mix_tempered(table(spark, sf_dir, "documents").select("doc_id", "source"))
@@ -68,6 +80,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash": op2_minhash,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_pfair_mix": op4_pfair_mix,
     "op5_lm": op5_lm,
     "op6_bpe": op6_bpe,
