@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _TEST_FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "spindrift", master: str = "local[*]", **conf: str) -> SparkSession:
@@ -25,8 +30,22 @@ def build_session(app: str = "spindrift", master: str = "local[*]", **conf: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, unless they find it where the driver does."""
+    root = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or "site-packages" in root.parts or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _SHIPPED.add(app)
+    # the driver serves the archive for as long as it runs
+    folder = tempfile.mkdtemp(prefix="spindrift-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/spindrift-{app}", "zip", root, "spindrift"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a dataset folder; read by Spark alone, so any file system will do."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +55,7 @@ def shared_root(spark: SparkSession) -> str:
     It is ``spark.checkpoint.dir`` of the session. Where that is unset, a local master (tests)
     gets a temporary folder and a cluster gets a folder in the warehouse, which is shared too.
     """
+    ship_package(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
