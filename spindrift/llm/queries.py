@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, langid, lm, minhash, mixing, quality, suffix_dedup
+from spindrift.llm import bpe, exact_dedup, html, langid, lm, minhash, mixing, quality, suffix_dedup
 from spindrift.session import table
 
 #: Words of the contracts, as DuckDB regular expressions.
@@ -64,6 +64,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements and verdicts of every document under policy v1."""
     return quality.quality_filter(table(spark, sf_dir, "documents"))
@@ -85,6 +90,7 @@ QUERIES = {
     "op5_lm": op5_lm,
     "op6_bpe": op6_bpe,
     "op10_langid": op10_langid,
+    "op7_html": op7_html,
     "op8_quality_rules": op8_quality_rules,
 }
 
