@@ -9,8 +9,8 @@ but for one case in ten million.
 Pairs are found without listing all pairs of a group. Equal sets are one class with one
 representative. In each key, every class is first paired with the smallest one; what passes the
 estimate and the comparison of full sets gives components. Only where a key holds several
-components are their members compared across, register by register in blocks, and what passes the
-estimate is compared on full sets. Pairs within a component need no comparison: they can't change
+components are their members compared across, in blocks of bounded size, by estimate and then on
+full sets; links alone leave the task. Pairs within a component need no comparison: they can't change
 it.
 
 Defined results: null and blank texts have an empty set and are linked with nothing; rows without
@@ -39,8 +39,8 @@ BUCKETS = BANDS * ROWS
 COLLIDE = 2.0**-MANTISSA / 3
 #: Pairs below this estimate are dropped unverified; it is seven deviations below 0.8.
 LEAST_ESTIMATE = 0.6
-#: Members of a key that are compared with as many others at a time.
-BLOCK = 512
+#: Members of a key that are compared with as many others at a time, and their shingles.
+BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
 #: Word hashes that a worker remembers.
 REMEMBERED = 400_000
 
@@ -193,52 +193,68 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
 
-def _across(open_rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of members of different components that share a key and whose registers agree enough.
+def _across(open_rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components that share a key.
 
-    A key's members are dealt into blocks of about BLOCK; each pair of blocks is one bounded group.
+    A key's members are dealt into blocks of bounded size; each pair of blocks is one group. What
+    passes the estimate there is compared on full sets at once, so that only links leave the task.
+    A pair is looked at in the first key that it shares, and not at all once links of the same
+    group have joined its components.
     """
-    sized = open_rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
+    sized = open_rows.withColumn("block", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
     paired = sized.select("key", "id", "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     paired = paired.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
-    held = paired.join(classes.select("id", "regs"), "id")
+    held = paired.join(texts, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by group; a group may go on in the next batch
-        left = None
+        shingle, left = Shingler(width), None
         for batch in batches:
             whole = pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch]).combine_chunks()
             marks = np.stack([whole.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
-            bounds = [0, *cuts.tolist()]
+            bounds = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist()]
             for start, end in zip(bounds, bounds[1:]):
-                yield from compare(whole.slice(start, end - start))
+                yield compare(whole.slice(start, end - start), shingle)
             left = whole.slice(bounds[-1])
         if left is not None and left.num_rows:
-            yield from compare(left)
-
-    def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, parts = group.column("id").to_numpy(), group.column("component").to_numpy()
-        blocks, same = group.column("block").to_numpy(), group.column("i")[0] == group.column("j")[0]
-        regs = _matrix(group.column("regs").combine_chunks())
-        for at in range(len(ids)):
-            others = (parts != parts[at]) & ((ids > ids[at]) if same else (blocks != blocks[at]) & (blocks[at] == group.column("i")[0].as_py()))
-            near = np.flatnonzero(others)
-            if len(near):
+            yield compare(left, shingle)
+
+    def compare(group: pa.Table, shingle: Shingler) -> pa.RecordBatch:
+        ids, parts, blocks = (group.column(c).to_numpy() for c in ("id", "component", "block"))
+        key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
+        links: tuple[list[int], list[int]] = ([], [])
+        if (parts != parts[0]).any():
+            roots = parts.copy()
+            sets = [shingle(t.as_py()) for t in group.column("text")]
+            regs = densify(np.stack([registers(x) for x in sets]))
+            keys = band_keys(regs)
+            for at in np.flatnonzero(blocks == i):
+                others = (roots != roots[at]) & ((ids > ids[at]) if i == j else (blocks == j))
+                near = np.flatnonzero(others)
                 near = near[estimate(regs[near], regs[at]) >= LEAST_ESTIMATE]
                 if len(near):
-                    a, b = np.minimum(ids[near], ids[at]), np.maximum(ids[near], ids[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    first = (keys[near] == keys[at]).argmax(axis=1)
+                    near = near[keys[near, first] == key]
+                for other in near:
+                    if roots[other] != roots[at] and similar(sets[at], sets[other], percent):
+                        links[0].append(int(ids[at]))
+                        links[1].append(int(ids[other]))
+                        roots[roots == roots[other]] = roots[at]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
 
-    dealt = held.select("key", "i", "j", "id", "component", "block", "regs").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = held.select("key", "i", "j", "id", "component", "block", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _texts(docs: DataFrame, needed: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, text) of the needed identifiers and few others."""
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    return MemberFilter(needed, "id").keep(rows, "id")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """The pairs whose full sets are similar; only texts that a pair needs are moved."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    texts = MemberFilter(needed, "id").keep(rows, "id")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), doc_id, text)
     both = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,10 +294,13 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     links = materialise(_verified(tried, docs, width, percent, doc_id, text), "near-links")
     first = components(links)
 
-    placed = shared.where("n > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spread = placed.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).where("open")
-    more = materialise(_across(placed.join(spread, "key", "left_semi"), classes), "near-across")
-    further = _verified(more.join(tried, ["a", "b"], "left_anti"), docs, width, percent, doc_id, text)
+    placed = shared.where("n > 2").select("key", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = placed.join(full.groupBy("id").agg(F.max("n_shingles").alias("size")), "id")
+    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)
+    spread = placed.groupBy("key").agg((F.min("component") < F.max("component")).alias("open"), F.ceil(size).cast("int").alias("blocks")).where("open")
+    open_rows = materialise(placed.join(spread, "key").select("key", "id", "component", "blocks"), "near-open")
+    texts = _texts(docs, open_rows.select("id").distinct(), doc_id, text)
+    further = _across(open_rows, texts, width, percent)
     # an identifier with several sets links their classes
     several = full.groupBy("id").agg((F.min("digest") < F.max("digest")).alias("several")).where("several").select("id")
     bridges = full.join(several, "id", "left_semi").select(F.col("id").alias("a"), "digest").join(classes.select("digest", F.col("id").alias("b")), "digest").select("a", "b")
