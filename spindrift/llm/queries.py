@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, html, langid, lm, minhash, mixing, quality, suffix_dedup
+from spindrift.llm import bpe, exact_dedup, html, langid, line_dedup, lm, minhash, mixing, quality, suffix_dedup
 from spindrift.session import table
 
 #: Words of the contracts, as DuckDB regular expressions.
@@ -74,6 +74,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_filter(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document when one line of each class of near-equal lines stays."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_linked", F.size("dropped").cast("long").alias("n_dropped"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; a quarter of them is held out of training."""
     docs = table(spark, sf_dir, "documents")
@@ -89,6 +95,7 @@ QUERIES = {
     "op4_pfair_mix": op4_pfair_mix,
     "op5_lm": op5_lm,
     "op6_bpe": op6_bpe,
+    "op9_line_dedup": op9_line_dedup,
     "op10_langid": op10_langid,
     "op7_html": op7_html,
     "op8_quality_rules": op8_quality_rules,
