@@ -36,10 +36,15 @@ def stale_ids(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.select("id").subtract(new.select("id"))
 
 
+def _by_source(collection: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of rows with ``_source`` names; rows without a source match none."""
+    return collection.withColumn("_source", F.col("metadata.source")).join(names, "_source", how).select(*collection.columns)
+
+
 def stale_rows(collection: DataFrame, new: DataFrame) -> DataFrame:
     """Collection rows of documents in ``new`` whose id is no longer among theirs."""
     updated = new.select(F.col("pdf_name").alias("_source")).distinct()
-    old = collection.join(updated, F.col("metadata.source") == F.col("_source"), "left_semi")
+    old = _by_source(collection, updated, "left_semi")
     return old.join(new.select("id"), "id", "left_anti").select(*collection.columns)
 
 
@@ -49,7 +54,7 @@ def removed_documents(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def delete_sources(collection: DataFrame, names: DataFrame) -> DataFrame:
     gone = names.select(F.col("pdf_name").alias("_source"))
-    return collection.join(gone, F.col("metadata.source") == F.col("_source"), "left_anti")
+    return _by_source(collection, gone, "left_anti")
 
 
 def delete_ids(collection: DataFrame, ids: DataFrame) -> DataFrame:
@@ -64,13 +69,13 @@ def upsert(collection: DataFrame, rows: DataFrame) -> DataFrame:
 def orphans(collection: DataFrame, valid: DataFrame) -> DataFrame:
     """Rows whose source isn't valid; a row without a source is an orphan."""
     good = valid.select(F.col("source").alias("_source")).distinct()
-    return collection.join(good, F.col("metadata.source") == F.col("_source"), "left_anti")
+    return _by_source(collection, good, "left_anti")
 
 
 def purge(collection: DataFrame, valid: DataFrame) -> DataFrame:
     """The collection without orphans."""
     good = valid.select(F.col("source").alias("_source")).distinct()
-    return collection.join(good, F.col("metadata.source") == F.col("_source"), "left_semi")
+    return _by_source(collection, good, "left_semi")
 
 
 def manifest_upsert(manifest: DataFrame, updates: DataFrame) -> DataFrame:

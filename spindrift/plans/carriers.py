@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as X
 from spindrift.session import table
 
-_BEFORE, _AFTER, _JUNK = " \t ​�", " \r\n\n　\u0007­ \t", ""
+_BEFORE = f"{chr(0xA0)} \t{chr(0x200B)}{chr(0xFFFD)}"
+_AFTER = f"{chr(0xAD)} \r\n\n{chr(0x3000)}{chr(7)} \t"
+_JUNK = chr(0xE000)
 
 #: White space in RE2, which knows no Unicode class for it.
 SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
