@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.graph import components
 from spindrift.llm.repeats import Bits
-from spindrift.llm.shared import attach
+from spindrift.llm.shared import MemberFilter, attach
 from spindrift.session import materialise
 
 EDITS, LEAST_BYTES = 2, 20
@@ -141,7 +141,7 @@ def _segments(rows: DataFrame) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             keys, ids, counts = [], [], []
-            texts = batch.column(1)
+            texts = batch.column("text")
             for i in range(batch.num_rows):
                 for line in lines(texts[i].as_py()):
                     n = len(line)
@@ -212,7 +212,7 @@ def _line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             found: dict[int, bytes] = {}
             for i in range(batch.num_rows):
-                found.update((_id(x), x) for x in lines(batch.column(1)[i].as_py()) if len(x) >= LEAST_BYTES)
+                found.update((_id(x), x) for x in lines(batch.column("text")[i].as_py()) if len(x) >= LEAST_BYTES)
             ids = np.fromiter(found, np.int64, len(found))
             hit = np.flatnonzero(sent.value.has(ids.view(np.uint64)))
             every = list(found.values())
@@ -274,7 +274,8 @@ def _across(open_rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def line_classes(rows: DataFrame) -> DataFrame:
-    """(lid, component) of lines that are linked with a different line; rows: (doc_id, text)."""
+    """(lid, component) of lines that are linked with a different line; rows have a ``text``."""
+    rows = rows.select("text")
     met = materialise(_met(_segments(rows)), "lines-met")
     texts = materialise(_line_texts(rows, met.select(F.explode(F.array("lid", "centre")).alias("lid")).distinct()), "lines-texts")
     stars = met.select(F.least("lid", "centre").alias("a"), F.greatest("lid", "centre").alias("b")).distinct()
@@ -288,82 +289,57 @@ def line_classes(rows: DataFrame) -> DataFrame:
     return components(links).withColumnRenamed("id", "lid")
 
 
+def _occurrences(rows: DataFrame) -> DataFrame:
+    """(rid, doc, at, lid) of every line that isn't blank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rids, docs = batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist()
+            texts = batch.column("text")
+            out: tuple[list, ...] = ([], [], [], [])
+            for i, (rid, doc) in enumerate(zip(rids, docs)):
+                for at, line in enumerate(lines(texts[i].as_py())):
+                    if line and not line.isspace():
+                        for column, v in zip(out, (rid, doc, at, _id(line))):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["rid", "doc", "at", "lid"])
+
+    return rows.mapInArrow(run, "rid long, doc long, at long, lid long")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = []
+        for text, dropped in zip(batch.column("text").to_pylist(), batch.column("dropped").to_pylist()):
+            gone = set(dropped)
+            kept.append("\n".join([x for at, x in enumerate((text or "").split("\n")) if at not in gone]))
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n_lines", "n_linked", "dropped")] + [pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_linked", "dropped", "kept"])
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_linked, dropped, kept``: non-blank lines, those with another line in
     their class, numbers of the lines that go, and the text that stays."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out: dict[int, list] = {}
-            for i, doc in enumerate(ids):
-                for at, line in enumerate(lines(batch.column(1)[i].as_py())):
-                    if line.split():
-                        found = out.setdefault(_id(line), [doc, at, 0])
-                        found[2] += 1
-                        if (doc is not None, doc or 0, at) < (found[0] is not None, found[0] or 0, found[1]):
-                            found[:2] = doc, at
-            columns = [pa.array(out.keys(), pa.int64()), *[pa.array([v[k] for v in out.values()], pa.int64()) for k in range(3)]]
-            yield pa.RecordBatch.from_arrays(columns, ["lid", "doc", "at", "n"])
-
-    counted = rows.mapInArrow(count, "lid long, doc long, at long, n long")
-    each = counted.groupBy("lid").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("n").alias("n"))
+    rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
+    placed = materialise(_occurrences(rows), "lines-placed")
+    each = placed.groupBy("lid").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = materialise(line_classes(rows), "lines-classes")
     named = each.join(classes, "lid", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "lid"))
     named = materialise(named, "lines-named")
     keep = named.groupBy("component").agg(F.min("first").alias("keep"))
     marks = materialise(named.join(keep, "component").select("lid", "n", "keep"), "lines-marks")
-    sent = docs.sparkSession.sparkContext.broadcast(Bits(marks, "lid"))
 
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out: list[list] = [[], [], [], []]
-            for i, doc in enumerate(ids):
-                found = batch.column(1)[i].as_py()
-                names = [(at, _id(line)) for at, line in enumerate(lines(found)) if line.split()]
-                if names:
-                    flags = sent.value.has(np.array([n for _, n in names], np.int64).view(np.uint64))
-                    rid = _row(doc, found)
-                    for (at, lid), flag in zip(names, flags):
-                        if flag:
-                            for column, v in zip(out, (rid, doc, at, lid)):
-                                column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["rid", "doc", "at", "lid"])
-
-    found = rows.mapInArrow(hits, "rid long, doc long, at long, lid long")
-    total = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    judged = attach(found, marks, "lid", "n", max(1, total)).where("n IS NOT NULL")
+    found = MemberFilter(marks, "lid").keep(placed, "lid")
+    judged = attach(found, marks, "lid", "n", max(1, placed.count())).where("n IS NOT NULL")
     gone = F.when(~(F.col("doc").eqNullSafe(F.col("keep.doc")) & F.col("at").eqNullSafe(F.col("keep.at"))), F.col("at"))
-    per_row = materialise(judged.groupBy("rid").agg(F.collect_set(gone).alias("dropped"), F.collect_set("at").alias("linked")), "lines-rows")
-    lossy = docs.sparkSession.sparkContext.broadcast(Bits(per_row, "rid"))
-
-    def cut(batches: Iterator[pa.RecordBatch], joined: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for row in batch.to_pylist():
-                every = lines(row["text"])
-                gone = sorted(row["dropped"] or []) if joined else []
-                drop = set(gone)
-                kept = b"\n".join([x for at, x in enumerate(every) if at not in drop]) if drop else b"\n".join(every)
-                for column, v in zip(out, (row["doc_id"], sum(1 for x in every if x.split()), len(row["linked"] or []) if joined else 0, gone, kept.decode())):
-                    column.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "n_lines", "n_linked", "dropped", "kept"])
-
-    def named_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rids = np.array([_row(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int64)
-            flags = lossy.value.has(rids.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rids), pa.array(flags)], ["doc_id", "text", "rid", "touched"])
-
+    touched = materialise(judged.groupBy("rid").agg(F.sort_array(F.collect_set(gone)).alias("dropped"), F.size(F.collect_set("at")).cast("long").alias("n_linked")), "lines-touched")
+
+    n_lines = F.expr(r"CAST(size(filter(split(coalesce(text, ''), '\n'), l -> btrim(l, ' \t\n\u000B\f\r') <> '')) AS BIGINT)")
+    marked = MemberFilter(touched, "rid").mark(rows, "rid")
+    none = F.array().cast("array<bigint>")
+    whole = F.coalesce("text", F.lit(""))
+    plain = marked.where("NOT hit").select("doc_id", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_linked"), none.alias("dropped"), whole.alias("kept"))
+    maybe = marked.where("hit").join(touched, "rid", "left").withColumn("dropped", F.coalesce("dropped", none)).withColumn("n_linked", F.coalesce("n_linked", F.lit(0)))
     schema = "doc_id long, n_lines long, n_linked long, dropped array<long>, kept string"
-    told = rows.mapInArrow(named_rows, "doc_id long, text string, rid long, touched boolean")
-    plain = told.where("NOT touched").select("doc_id", "text").mapInArrow(lambda b: cut(b, False), schema)
-    changed = told.where("touched").join(per_row, "rid", "left").select("doc_id", "text", "dropped", "linked").mapInArrow(lambda b: cut(b, True), schema)
+    changed = maybe.select("doc_id", "text", n_lines.alias("n_lines"), "n_linked", "dropped").mapInArrow(_cut, schema)
     return plain.unionByName(changed)
-
-
-def _row(doc: int | None, text: str | None) -> int:
-    return _id(f"{doc}\n{text or ''}".encode())
