@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _TEST_FOLDERS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "spindrift", master: str = "local[*]", **conf: str) -> SparkSession:
@@ -62,7 +63,9 @@ def shared_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _TEST_FOLDERS:
         if spark.sparkContext.master.startswith("local["):
-            root = "file://" + tempfile.mkdtemp(prefix="spindrift-")
+            folder = tempfile.mkdtemp(prefix="spindrift-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            root = f"file://{folder}"
         else:
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.sparkContext.setCheckpointDir(root)
@@ -72,7 +75,9 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name under :func:`shared_root`; nothing is created."""
-    return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, what: str, **options: str) -> DataFrame:
@@ -80,7 +85,21 @@ def materialise(df: DataFrame, what: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._scratch = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote for ``df``; nothing may read it any more."""
+    if path := getattr(df, "_scratch", None):
+        remove(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch folders of this application, once its results have been written."""
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
