@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.session import materialise
+from spindrift.session import discard, materialise
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -19,13 +19,16 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     pairs = edges.select("a", "b").where("a <> b")
     both = materialise(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "id"), "cc-labels")
+    held = labels
     for _ in range(most_rounds):
         near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         to = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         jumped = hooked.join(to, "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("label"), "was")
         done = materialise(jumped, "cc-labels")
-        labels = done.select("id", "label")
+        discard(held)
+        held, labels = done, done.select("id", "label")
         if done.where("label <> was").isEmpty():
+            discard(both)
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
