@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
-from spindrift.operators import answer, audit, chunks, dense, enrichment, evaluate, fusion, ingest, lexical
+from spindrift.operators import answer, audit, chunks, dense, enrichment, evaluate, fusion, graphstore, ingest, lexical
 from spindrift.plans import carriers as C
 from spindrift.session import table
 from spindrift.sources import checkpoint, pdf
@@ -471,6 +471,28 @@ def graph_batches_20(spark, sf_dir):
     return ingest.graph_batches(rows, known)
 
 
+_GRAPH_SQL = f"""WITH {_INGEST_SQL},
+todo AS (SELECT f.pdf_name FROM (SELECT pdf_name, arg_min(file_hash, ordinal) AS h FROM chunks GROUP BY pdf_name) f LEFT JOIN manifest m USING (pdf_name) WHERE m.file_hash IS NULL OR m.file_hash <> f.h),
+b AS (SELECT DISTINCT pdf_name, (row_number() OVER (PARTITION BY pdf_name ORDER BY page_number, id) - 1) // 20 AS batch_no FROM chunks WHERE pdf_name IN (SELECT pdf_name FROM todo)),
+f AS (SELECT *, (length(pdf_name) + batch_no) % 3 = 2 AS bad FROM b)
+SELECT pdf_name, batch_no, NOT bad AS ok FROM f WHERE batch_no <= coalesce((SELECT min(batch_no) FROM f g WHERE g.pdf_name = f.pdf_name AND g.bad), batch_no)"""
+
+
+@query(_GRAPH_SQL)
+def graph_insert(spark, sf_dir):
+    """A sink that refuses some batches: a document ends at its first failure."""
+
+    def sink():
+        def put(name: str, number: int, text: str) -> None:
+            if (len(name) + number) % 3 == 2:
+                raise ValueError("refused")
+
+        return put
+
+    rows, known, _ = _state(spark, sf_dir)
+    return graphstore.insert(ingest.graph_batches(rows, known), sink).select("pdf_name", "batch_no", "ok")
+
+
 # --- evaluation, operations -------------------------------------------------------------------
 
 
