@@ -45,7 +45,7 @@ def test_plans(spark):
     def plan(name):
         return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
-    assert "ReadSchema: struct<text:string>" in plan("term_df_idf").replace("doc_id:bigint,", "")
+    assert "ReadSchema: struct<page_id:bigint,html:string>" in plan("pattern_audit")
     assert "PushedFilters" in plan("orphan_ids")
     assert "TakeOrderedAndProject" in plan("topk_desc")
     assert "WindowGroupLimit" in plan("dense_topk_l2")
