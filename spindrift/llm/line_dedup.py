@@ -133,7 +133,8 @@ def _id(line: bytes) -> int:
 
 
 def _segments(rows: DataFrame) -> DataFrame:
-    """(key, lid, probe): index rows and probe rows of the distinct long lines of each task."""
+    """(key, lid): index rows and probe rows of the distinct long lines of each task. The last bit
+    of a key says that it is a probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, list[tuple[int, int, int]]] = {}
@@ -169,17 +170,17 @@ def _segments(rows: DataFrame) -> DataFrame:
     def packed(keys: list[int], ids: list[int], counts: list[int]) -> pa.RecordBatch:
         sizes = np.array(counts)
         at = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        columns = [np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(ids, np.int64), sizes), at > EDITS]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "lid", "probe"])
+        marked = (np.array(keys, np.uint64) & ~_U(1) | (at > EDITS).astype(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(marked), pa.array(np.repeat(np.array(ids, np.int64), sizes))], ["key", "lid"])
 
-    return rows.mapInArrow(run, "key long, lid long, probe boolean")
+    return rows.mapInArrow(run, "key long, lid long")
 
 
 def _met(segments: DataFrame) -> DataFrame:
     """(key, lid, centre): lines that share a key with an index line other than themselves.
 
     Rows of a key come with its index rows first, so a key's centre is known from its first row and
-    nothing has to be held, however many lines share it.
+    nothing has to be held, however many lines share it. Any index line will do as the centre.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,8 @@ def _met(segments: DataFrame) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            keys, ids, probe = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            marked, ids = (batch.column(i).to_numpy() for i in range(2))
+            keys, probe = marked >> 1, (marked & 1).astype(bool)
             heads = np.concatenate(([key is None or keys[0] != key], keys[1:] != keys[:-1]))
             at = np.maximum.accumulate(np.where(heads, np.arange(n), -1))
             first, indexed = ids[at], ~probe[at]
@@ -200,7 +202,8 @@ def _met(segments: DataFrame) -> DataFrame:
             kept = indexed & (ids != first)
             yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (keys, ids, first)], ["key", "lid", "centre"])
 
-    dealt = segments.repartition("key").sortWithinPartitions("key", "probe", "lid")
+    # one sort column, which Spark sorts by radix
+    dealt = segments.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     return dealt.mapInArrow(run, "key long, lid long, centre long").distinct()
 
 
