@@ -32,7 +32,9 @@ from spindrift.session import materialise
 #: Tokens that are looked at at a time; more bits than this would not fit beside a hash.
 CHUNK = 1_000_000
 #: Tokens of regions per suffix array, and regions of an anchor beyond which it is told apart.
-SHARD_TOKENS, MANY_REGIONS = 2_000_000, 2000
+SHARD_TOKENS, MANY_REGIONS = 1_000_000, 2000
+#: Tokens that are compared at once at the start of a region.
+STRIDE = 16
 #: Longer content tells starts apart in this many parts.
 PARTS = 8
 #: Bits of the filters: 16 a member within these bounds.
@@ -113,18 +115,22 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
     the suffix that begins where the known prefix ends.
     """
     n = len(x)
-    order = np.argsort(x, kind="stable")
-    ranked = x[order]
+    if x.max(initial=0) < (1 << 16) - 1:  # four tokens make one number
+        y = np.append(x + 1, (0, 0, 0)).astype(np.uint64)
+        y, known = y[:n] << _U(48) | y[1 : n + 1] << _U(32) | y[2 : n + 2] << _U(16) | y[3:], 4
+    else:
+        y, known = x, 1
+    order = np.argsort(y)
+    ranked = y[order]
     heads = np.concatenate(([True], ranked[1:] != ranked[:-1]))
     place = np.arange(n)
     rank = np.full(n + 1, -1, np.int64)
     rank[order] = np.maximum.accumulate(np.where(heads, place, 0))
     tied = np.flatnonzero(~(heads & np.append(heads[1:], True)))
-    known = 1
     while len(tied):
         members = order[tied]
         key = rank[members] * (n + 1) + rank[np.minimum(members + known, n)] + 1
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         members, key = members[by], key[by]
         order[tied] = members
         heads = np.concatenate(([True], key[1:] != key[:-1]))
@@ -144,18 +150,27 @@ def common_prefixes(x: np.ndarray, order: np.ndarray, begins: np.ndarray, ends:
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     shared = np.zeros(n, np.int64)
-    end = np.append(x, -1)
+    padded = np.append(x, np.full(STRIDE, -1))
+    stride = np.arange(STRIDE)
     lanes, h = np.arange(len(begins)), np.zeros(len(begins), np.int64)
     for step in range(int((ends - begins).max(initial=0))):
         lanes = lanes[begins[lanes] + step < ends[lanes]]
         i = begins[lanes] + step
         j = before[i]
         length = np.where(j >= 0, np.maximum(h[lanes] - 1, 0), 0)
-        live = np.flatnonzero(j >= 0)
-        while len(live):
+        live = np.flatnonzero((j >= 0) & (length < most))
+        # no match goes beyond a region's end, which is unlike any other token
+        while step == 0 and len(live):
             a, b = i[live] + length[live], j[live] + length[live]
-            live = live[(length[live] < most) & (end[np.minimum(a, n)] == end[np.minimum(b, n)]) & (a < n) & (b < n)]
+            unlike = padded[a[:, None] + stride] != padded[b[:, None] + stride]
+            length[live] += np.where(unlike.any(axis=1), unlike.argmax(axis=1), STRIDE)
+            live = live[~unlike.any(axis=1) & (length[live] < most)]
+        length = np.minimum(length, most)
+        while len(live):
+            now = length[live]
+            live = live[padded[i[live] + now] == padded[j[live] + now]]
             length[live] += 1
+            live = live[length[live] < most]
         shared[i], h[lanes] = length, length
     return shared
 
