@@ -8,7 +8,8 @@ share. Shares are whole numbers of slots in a period, so one period is scheduled
 
 Defined results: sources without a target weight, and null sources, are never scheduled; null
 identifiers and repeated rows are rows like any other; an empty table gives an empty result; all
-columns are kept, but ``mix_`` columns replace columns of these names.
+columns are kept, but ``mix_`` columns replace columns of these names. :func:`in_order` returns the
+exact mixture and cuts what lies behind it, :func:`all_in_order` returns every row.
 """
 
 from __future__ import annotations
@@ -142,6 +143,18 @@ def mix_tempered(docs: DataFrame, power: float = 0.7, block_rows: int = 8, sourc
 
 
 def in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of the mixture in its order: files and rows within them follow the slots."""
-    kept = mixed.where("mix_in")
-    return kept.repartitionByRange("mix_slot", "mix_rank").sortWithinPartitions("mix_slot", "mix_rank").select(*[F.col(f"`{c}`") for c in columns])
+    """The rows of the exact mixture in its order: files and rows within them follow the slots. Rows
+    that aren't ``mix_in`` are cut; :func:`cut_rows` counts them."""
+    return all_in_order(mixed.where("mix_in"), columns)
+
+
+def all_in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """All rows in the order of their slots. Once a source has run dry its slots stay empty, and the
+    others go on at their weights among themselves. Rows that have no slot come last."""
+    order = [F.col("mix_slot").asc_nulls_last(), F.col("mix_rank")]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def cut_rows(mixed: DataFrame, source: str = "source") -> DataFrame:
+    """(source, rows, cut): rows of each source, and those that :func:`in_order` leaves out."""
+    return mixed.groupBy(F.col(f"`{source}`").alias("source")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("mix_in")).alias("cut"))

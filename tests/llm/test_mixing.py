@@ -52,3 +52,17 @@ def test_odd_rows(odd, empty):
     assert len(out) == odd.count()
     assert all(r.mix_slot is None and not r.mix_in for r in out if r.source is None)
     assert X.mix_tempered(empty).collect() == [] and X.mix(odd, {}).where("mix_in").count() == 0
+
+
+def test_all_rows_in_order(spark):
+    """A source of one row runs dry at once; no row of the others, or without a source, goes."""
+    df = spark.range(3001).selectExpr("id AS doc_id", "CASE WHEN id = 0 THEN 'tiny' WHEN id % 50 = 1 THEN NULL WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 5) END AS source")
+    mixed = X.mix_tempered(df)
+    out = mixed.collect()
+    last = max(r.mix_slot for r in out if r.source)
+    expected = sorted(out, key=lambda r: (last + 1 if r.mix_slot is None else r.mix_slot, r.mix_rank))
+    assert [r.doc_id for r in X.all_in_order(mixed, ["doc_id"]).collect()] == [r.doc_id for r in expected]
+    assert sorted(r.doc_id for r in out) == list(range(3001))
+    cut = {r.source: (r.rows, r.cut) for r in X.cut_rows(mixed).collect()}
+    assert cut == {s: (sum(r.source == s for r in out), sum(r.source == s and not r.mix_in for r in out)) for s in {r.source for r in out}}
+    assert cut["hot"][1] > 0

@@ -58,3 +58,13 @@ def test_odd_and_empty_rows(spark, odd, empty):
     for df in (odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, df, SF).count() <= df.count()
+
+
+def test_mixture_keeps_all_rows(spark, documents, odd, empty):
+    """However unequal the sources are, and where there is none."""
+    stage = dict(corpus_pipeline.STAGES)["pfair_mix"]
+    lone = documents.unionByName(documents.limit(1).selectExpr("-1L AS doc_id", "text", "lang", "'lone' AS source", "n_chars"))
+    for df in (lone, odd, empty):
+        found = stage(spark, df, SF)
+        assert found.columns == df.columns
+        assert Counter(r.doc_id for r in found.collect()) == Counter(r.doc_id for r in df.collect())
