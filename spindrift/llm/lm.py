@@ -1,14 +1,19 @@
 """Language-model scoring by a weighted backoff automaton.
 
 Counts are taken over the whole training part of the corpus. Words give an add-one base
-distribution, with one share for unknown words. Over it stand bigrams and trigrams of frequent
-words, smoothed by absolute discounting: each history is a state, each kept n-gram an arc, and the
-mass that is left over goes to a failure arc to the shorter history. One traversal from left to
-right carries the state and adds up log probabilities; the distribution of every state sums to one.
-
-Which words and n-grams are held by every worker depends on their share of all tokens. Shares
-bound their number (no more than x words can each have 1/x of all tokens), so the automaton's size
-has a proven bound at any input. All other words, of whatever number, are counted too, and meet
+distribution, with one share for unknown words. Over it stand all bigrams and trigrams that occur,
+smoothed by absolute discounting: each history is a state, each n-gram an arc, and the mass that is
+left over goes to a failure arc to the shorter history. The distribution of every state sums to one.
+
+All n-grams are kept, however rare, in written tables (:class:`Tables`) whose keys are 64-bit hashes
+of the words. A document's trigrams meet them in a join, one row for each document and trigram; those
+that training never saw go on to their histories' failure arcs and to the bigrams.
+
+Which words and n-grams are held by every worker besides depends on their share of all tokens.
+Shares bound their number (no more than x words can each have 1/x of all tokens), so the automaton's
+size has a proven bound at any input. The automaton is a cache: its trigram arcs have the whole
+model's probabilities and spare their trigrams the join; its failure arcs, which hold the mass of
+all that it lacks, score nothing. All other words, of whatever number, are counted too, and meet
 their counts in a join by word: each is rarer than 1/LOCAL_WORDS, so the join has no hot key.
 
 Defined results: a null text counts as empty and has the end token alone; a null identifier is
@@ -18,6 +23,7 @@ training part leaves the unknown share alone, so every token scores 0; other col
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -29,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.session import materialise
+from spindrift.session import discard, materialise
 
 #: Bounds by share of all training tokens: words known to each worker, words in n-grams, words in
 #: trigrams, bigrams, trigrams.
@@ -38,6 +44,8 @@ LOCAL_WORDS, STATE_WORDS, TRIGRAM_WORDS, BIGRAMS, TRIGRAMS = 500_000, 20_000, 40
 DISCOUNT = 0.5
 #: The end token; no word is empty.
 END = b""
+#: The hash that stands before the first end token, which no word has.
+PAD = 0
 #: Distinct entries that a counting task holds before it hands them on.
 HELD = 400_000
 
@@ -47,6 +55,16 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+class Hashes(dict):
+    """Word -> 64-bit hash, remembered for up to HELD words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True) or 1
+        return found
+
+
 def fold(modulus: int, rest: int) -> Callable[[int | None], bool]:
     """Whether an identifier's crc32, as text, leaves ``rest``."""
     return lambda doc_id: zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus == rest
@@ -62,48 +80,64 @@ class Automaton:
     fail: list[int]
     start: int
 
-    def score(self, tokens: list[bytes]) -> tuple[float, float, int, Counter]:
-        """Log10 probability and base score of the tokens and the end, as far as the words are
-        known here; how many are; and the others, whose base probability is still to be added."""
-        known, arcs, backoff, fail = self.known, self.arcs, self.backoff, self.fail
+    def score(self, tokens: list[bytes]) -> tuple[float, float, int, Counter, list[int]]:
+        """Log10 probability of the tokens and the end that trigram arcs score; base score, as far as
+        the words are known here; how many are; the others, whose base probability is still to be
+        added; and the places that trigram arcs don't score."""
+        known, arcs, fail = self.known, self.arcs, self.fail
         total = base = 0.0
-        state, rare = self.start, []
-        for word in (*tokens, END):
+        state, rare, rest = self.start, [], []
+        for place, word in enumerate((*tokens, END)):
             found = known.get(word)
             if found is None:
                 rare.append(word)
-                symbol, own = -1, 0.0
+                symbol = -1
             else:
                 symbol, own = found
                 base += own
-            if symbol >= 0:
-                while state:
-                    arc = arcs.get(state << 20 | symbol)
-                    if arc is not None:
-                        state = arc[0]
-                        total += arc[1]
-                        break
-                    total += backoff[state]
-                    state = fail[state]
-                else:
-                    total += own
-                    state = symbol + 1
+            if symbol < 0:
+                state = 0
+                rest.append(place)
+                continue
+            arc = arcs.get(state << 20 | symbol) if fail[state] else None
+            if arc is not None:
+                state = arc[0]
+                total += arc[1]
+                continue
+            rest.append(place)
+            while state:
+                arc = arcs.get(state << 20 | symbol)
+                if arc is not None:
+                    state = arc[0]
+                    break
+                state = fail[state]
             else:
-                while state:
-                    total += backoff[state]
-                    state = fail[state]
-                total += own
-        return total, base, len(tokens) + 1 - len(rare), Counter(rare)
+                state = symbol + 1
+        return total, base, len(tokens) + 1 - len(rare), Counter(rare), rest
+
+
+@dataclass
+class Tables:
+    """All n-grams of the training part. ``trigrams(g, h, w, c, p3)``, ``bigrams(h, w, c, p2)``,
+    ``histories(h, bo1)`` and ``words(w, c)``; p2 and p3 are log10 probabilities, bo1 the failure
+    arc's weight. Those of bigram histories follow from :func:`failures`."""
+
+    trigrams: DataFrame
+    bigrams: DataFrame
+    histories: DataFrame
+    words: DataFrame
 
 
 @dataclass
 class Model:
-    """``unigrams(word, c)`` of all training tokens, their number and kinds, and the automaton."""
+    """``unigrams(word, c)`` of all training tokens, their number and kinds, the automaton and all
+    n-grams."""
 
     unigrams: DataFrame
     tokens: int
     kinds: int
     automaton: Automaton
+    tables: Tables
 
     @property
     def unknown(self) -> float:
@@ -174,6 +208,80 @@ def count_ngrams(rows: DataFrame, held_out: Callable[[int | None], bool], symbol
     return rows.mapInArrow(run, "n int, code long, c long").groupBy("n", "code").agg(F.sum("c").alias("c"))
 
 
+def trigram_rows(docs: list[tuple[int, np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, ...]:
+    """(row, g, h, w, k) of the distinct trigrams of each row. docs: the row, its words' hashes and
+    the places that count, or all. PAD and the end token stand before the first word."""
+    end = Hashes()[END]
+    parts = [np.concatenate(([PAD, end], x, [end])).astype(np.int64) for _, x, _ in docs]
+    cut = [np.arange(len(x) - 2) if places is None else places for x, (_, _, places) in zip(parts, docs)]
+    row = np.repeat(np.array([d[0] for d in docs], np.int64), [len(c) for c in cut])
+    g, h, w = (np.concatenate([x[c + i] for x, c in zip(parts, cut)]) for i in range(3))
+    order = np.lexsort((w, h, g, row))
+    columns = [x[order] for x in (row, g, h, w)]
+    first = np.ones(len(order), bool)
+    if len(order):
+        first[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    starts = np.flatnonzero(first)
+    return *[x[first] for x in columns], np.diff(np.append(starts, len(order)))
+
+
+def count_all(rows: DataFrame, held_out: Callable[[int | None], bool]) -> DataFrame:
+    """(g, h, w, c): all trigrams of the training rows, combined in each task before they move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = Hashes(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            _, *columns = trigram_rows(held)
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["g", "h", "w", "c"])
+
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for i, doc_id in enumerate(ids):
+                if not held_out(doc_id):
+                    found = words(texts[i].as_py())
+                    held.append((0, np.array([hashes[w] for w in found], np.int64), None))
+                    size += len(found) + 1
+                    if size > 1_000_000:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(run, "g long, h long, w long, c long").groupBy("g", "h", "w").agg(F.sum("c").alias("c"))
+
+
+def tabulate(rows: DataFrame, held_out: Callable[[int | None], bool], share: float) -> Tables:
+    """The tables of all n-grams. Each token ends one trigram and one bigram, so shorter counts are
+    sums of longer ones. share: what one count is in the base distribution."""
+    counts = materialise(count_all(rows, held_out), "lm-counts")
+    pairs = materialise(counts.groupBy("h", "w").agg(F.sum("c").alias("c")), "lm-pairs")
+    single = materialise(pairs.groupBy("w").agg(F.sum("c").alias("c")), "lm-single")
+    own = single.select("w", ((F.col("c") + 1) * F.lit(share)).alias("_own"))
+    left = (DISCOUNT * F.count(F.lit(1)) / F.sum("c")) / (1 - F.sum("_own"))
+    histories = pairs.join(own, "w").groupBy("h").agg(F.sum("c").alias("n"), F.log10(left).alias("bo1"))
+    histories = materialise(histories, "lm-histories")
+    p2 = F.log10((F.col("c") - DISCOUNT) / F.col("n"))
+    bigrams = materialise(pairs.join(histories.select("h", "n"), "h").select("h", "w", "c", p2.alias("p2")), "lm-bigrams")
+    # a history's tokens are those of the bigram that it is; the padded one is the end token's
+    seen = pairs.select(F.col("h").alias("g"), F.col("w").alias("h"), F.col("c").alias("n"))
+    start = histories.where(F.col("h") == Hashes()[END]).select(F.lit(PAD).cast("long").alias("g"), "h", "n")
+    p3 = F.log10((F.col("c") - DISCOUNT) / F.col("n"))
+    trigrams = counts.join(seen.unionByName(start), ["g", "h"]).select("g", "h", "w", "c", p3.alias("p3"))
+    trigrams = materialise(trigrams, "lm-trigrams")
+    discard(counts)
+    discard(pairs)
+    return Tables(trigrams, bigrams, histories.select("h", "bo1"), single)
+
+
+def failures(tables: Tables, asked: DataFrame) -> DataFrame:
+    """(g, h, bo2) of those ``asked(g, h)`` that training saw: the weights of their failure arcs. The
+    padded history stands for the end token's and has none of its own."""
+    arcs = tables.trigrams.where(F.col("g") != PAD).join(asked, ["g", "h"], "left_semi").join(tables.bigrams.select("h", "w", "p2"), ["h", "w"])
+    taken = lambda c: F.sum(F.pow(F.lit(10.0), F.col(c)))
+    return arcs.groupBy("g", "h").agg(F.log10((1 - taken("p3")) / (1 - taken("p2"))).alias("bo2"))
+
+
 def build(known: dict[bytes, tuple[int, float]], counts: list[int], ngrams: list[tuple[int, int, int]]) -> Automaton:
     """The automaton of kept n-grams (n, code, count). ``counts``: of each symbol as a history."""
     size = len(counts)
@@ -235,7 +343,49 @@ def train(docs: DataFrame, held_out: Callable[[int | None], bool] = lambda doc_i
     # nothing follows the end within a text
     ngrams = [(r["n"], r["code"], r["c"]) for r in kept.collect()]
     ngrams = [g for g in ngrams if g[0] == 2 or (g[1] >> 20) & ((1 << 20) - 1) != end]
-    return Model(unigrams, n, v, build(known, counts, ngrams))
+    return Model(unigrams, n, v, build(known, counts, ngrams), tabulate(rows, held_out, 1 / (n + v + 1)))
+
+
+def unscored(rows: DataFrame, automaton: Automaton) -> DataFrame:
+    """(row, g, h, w, k): the trigrams of each row that no arc of the automaton scores."""
+    sent = rows.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = Hashes(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in trigram_rows(held)], ["row", "g", "h", "w", "k"])
+
+        for batch in batches:
+            keys, texts = batch.column(0).to_pylist(), batch.column(2)
+            for i, key in enumerate(keys):
+                tokens = words(texts[i].as_py())
+                places = np.array(sent.value.score(tokens)[-1], np.int64)
+                held.append((key, np.array([hashes[w] for w in tokens], np.int64), places))
+                size += len(tokens) + 1
+                if size > 500_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(run, "row long, g long, h long, w long, k long")
+
+
+def ngram_scores(rows: DataFrame, model: Model) -> DataFrame:
+    """(row, total): what the automaton doesn't score, by the tables."""
+    tables = model.tables
+    met = unscored(rows, model.automaton).join(tables.trigrams.select("g", "h", "w", "p3"), ["g", "h", "w"], "left")
+    # what was found is summed up for each row, what was not keeps its words
+    missed = [F.when(F.col("p3").isNull(), F.col(c)).alias(c) for c in ("g", "h", "w")]
+    met = met.groupBy("row", *missed).agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("p3")).alias("total"))
+    met = materialise(met, "lm-met")
+    rest = met.where("w IS NOT NULL").select("row", "g", "h", "w", "k")
+    rest = rest.join(failures(tables, rest.select("g", "h").distinct()), ["g", "h"], "left")
+    rest = rest.join(tables.bigrams.select("h", "w", "p2"), ["h", "w"], "left").join(tables.histories, "h", "left").join(tables.words, "w", "left")
+    own = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.unknown)))
+    p = F.coalesce("bo2", F.lit(0.0)) + F.coalesce(F.col("p2"), F.coalesce("bo1", F.lit(0.0)) + own)
+    return met.where("w IS NULL").select("row", "total").unionByName(rest.select("row", (F.col("k") * p).alias("total")))
 
 
 def score(docs: DataFrame, model: Model, held_out: Callable[[int | None], bool] = lambda doc_id: False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,7 +402,7 @@ def score(docs: DataFrame, model: Model, held_out: Callable[[int | None], bool]
             out: list[list] = [[] for _ in names]
             for i, key in enumerate(keys):
                 tokens = words(texts[i].as_py())
-                total, base, n_known, rare = automaton.score(tokens)
+                total, base, n_known, rare, _ = automaton.score(tokens)
                 for column, value in zip(out, (key, ids[i], held_out(ids[i]), len(tokens) + 1, n_known, base, total, None, None)):
                     column.append(value)
                 if rare:
@@ -264,16 +414,20 @@ def score(docs: DataFrame, model: Model, held_out: Callable[[int | None], bool]
                     out = [[] for _ in names]
 
     rows = _training(docs, doc_id, text).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():  # read twice, and rows may change places
+        rows = materialise(rows, "lm-rows")
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, total double, word binary, k long"
     scored = materialise(rows.mapInArrow(run, schema), "lm-scored")
     # counts of words that no worker holds, one row per row and word
     tail = scored.where("word IS NOT NULL").select("row", "word", "k").join(model.unigrams, "word", "left")
     p = F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.unknown)))
     zero = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"))]
-    added = tail.select("row", *zero, F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("n_known"), p.alias("base"), p.alias("total"))
-    parts = added.groupBy("row").agg(F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("total").alias("total"))
+    added = tail.select("row", *zero, F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("n_known"), p.alias("base"))
+    parts = added.groupBy("row").agg(F.sum("n_known").alias("n_known"), F.sum("base").alias("base"))
     whole = scored.where("word IS NULL").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "total")
-    more = parts.select("row", *zero, "n_known", "base", "total")
+    more = parts.select("row", *zero, "n_known", "base", F.lit(0.0).alias("total"))
+    met = ngram_scores(rows, model).groupBy("row").agg(F.sum("total").alias("total"))
+    more = more.unionByName(met.select("row", *zero, F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), "total"))
     return (
         whole.unionByName(more)
         .groupBy("row")

@@ -76,3 +76,55 @@ def test_counts_and_traversal(spark):
     assert math.isclose(p(lm.END, b"a"), (20 - lm.DISCOUNT) / 21)
     state = arcs[(symbol[b"a"] + 1) << 20 | symbol[b"b"]][0]
     assert math.isclose(10 ** arcs[state << 20 | symbol[b"c"]][1], (20 - lm.DISCOUNT) / 40)
+
+
+def plain_scores(rows, held_out):
+    """The backoff model of all bigrams and trigrams, by dictionaries."""
+    uni, two, three = Counter(), Counter(), Counter()
+    for i, t in rows:
+        if not held_out(i):
+            x = [lm.END, *lm.words(t), lm.END]
+            uni.update(x[1:])
+            two.update(zip(x, x[1:]))
+            three.update(zip(x, x[1:], x[2:]))
+    n, v = sum(uni.values()), len(uni)
+    after, after2 = {}, {}
+    for h, w in two:
+        after.setdefault(h, []).append(w)
+    for g, h, w in three:
+        after2.setdefault((g, h), []).append(w)
+    own = lambda w: (uni[w] + 1) / (n + v + 1)
+
+    def p2(h, w):
+        if (h, w) in two:
+            return (two[h, w] - lm.DISCOUNT) / uni[h]
+        if h not in after:
+            return own(w)
+        return own(w) * lm.DISCOUNT * len(after[h]) / uni[h] / (1 - sum(own(z) for z in after[h]))
+
+    def p3(g, h, w):
+        if (g, h, w) in three:
+            return (three[g, h, w] - lm.DISCOUNT) / two[g, h]
+        if (g, h) not in after2:
+            return p2(h, w)
+        return p2(h, w) * lm.DISCOUNT * len(after2[g, h]) / two[g, h] / (1 - sum(p2(h, z) for z in after2[g, h]))
+
+    out = []
+    for i, t in rows:
+        x = [lm.END, *lm.words(t), lm.END]
+        out.append((str(i), math.log10(p2(*x[:2])) + sum(math.log10(p3(*z)) for z in zip(x, x[1:], x[2:]))))
+    return sorted(out)
+
+
+def test_all_ngrams_count(spark, documents, odd, monkeypatch):
+    """Scores are those of every n-gram, whatever part of them a worker holds."""
+    held_out = lm.fold(7, 2)
+    docs = documents.limit(60).unionByName(odd)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = plain_scores(rows, held_out)
+    for local, trigrams in ((500_000, 100_000), (50, 1)):
+        monkeypatch.setattr(lm, "LOCAL_WORDS", local)
+        monkeypatch.setattr(lm, "TRIGRAMS", trigrams)
+        found = sorted((str(r.doc_id), r.score) for r in lm.score(docs, lm.train(docs, held_out), held_out).collect())
+        for a, b in zip(found, expected, strict=True):
+            assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9, abs_tol=1e-9)
