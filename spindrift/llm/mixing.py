@@ -4,7 +4,8 @@ Rows of a source form blocks of equal size. With weight share w, block k of a so
 slot floor(k / w) and due by slot ceil((k + 1) / w). Earliest deadline first among released blocks
 fills every slot, and at any slot each source has had less than one block more or less than its
 share. Shares are whole numbers of slots in a period, so one period is scheduled on the driver
-(its length is a parameter, never the data's) and any block's slot follows from it by arithmetic.
+(SLOTS_EACH slots for each source, or the given length if that is more) and any block's slot follows
+from it by arithmetic. The driver holds one period, so more than MOST_SOURCES sources are refused.
 
 Defined results: sources without a target weight, and null sources, are never scheduled; null
 identifiers and repeated rows are rows like any other; an empty table gives an empty result; all
@@ -24,6 +25,10 @@ from pyspark.sql import functions as F
 
 #: Slots of a period: shares are rounded to multiples of 1/PERIOD.
 PERIOD = 10_000
+#: A period has at least so many slots for each source, so that rounding up to one slot stays rare.
+SLOTS_EACH = 10
+#: Sources whose period the driver can hold.
+MOST_SOURCES = 100_000
 
 
 def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -34,9 +39,15 @@ def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]
     total, spare = sum(positive.values()), period - len(positive)
     exact = {s: w / total * period for s, w in positive.items()}
     slots = {s: max(1, int(x)) for s, x in exact.items()}
-    while (over := sum(slots.values()) - period) > 0:  # the smallest were rounded up to one
-        s = max((s for s in slots if slots[s] > 1), key=lambda s: (slots[s] - exact[s], s))
-        slots[s] -= 1
+    over, names = sum(slots.values()) - period, sorted(slots, reverse=True)
+    most = [(exact[s] - slots[s], i) for i, s in enumerate(names) if slots[s] > 1] if over > 0 else []
+    heapq.heapify(most)
+    for _ in range(over):  # the smallest were rounded up to one
+        gap, i = heapq.heappop(most)
+        slots[names[i]] -= 1
+        if slots[names[i]] > 1:
+            heapq.heappush(most, (gap + 1, i))
+    over = min(over, 0)
     for s in sorted(exact, key=lambda s: (slots[s] - exact[s], s))[: -over if spare >= 0 else 0]:
         slots[s] += 1
     return slots
@@ -67,10 +78,10 @@ def tempered(counts: Mapping[str, int], power: float) -> dict[str, float]:
 
 
 def counted(docs: DataFrame, source: str) -> list[tuple[str, int]]:
-    """Rows of each source. A mixture has at most PERIOD sources, so more are refused."""
-    found = docs.groupBy(F.col(f"`{source}`")).count().limit(PERIOD + 1).collect()
-    if len(found) > PERIOD:
-        raise ValueError(f"over {PERIOD} sources")
+    """Rows of each source. A mixture has at most MOST_SOURCES sources, so more are refused."""
+    found = docs.groupBy(F.col(f"`{source}`")).count().limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources")
     return [(r[0], r[1]) for r in found]
 
 
@@ -107,9 +118,10 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_rows: int = 8, peri
     ``mix_rank`` numbers the rows of a source, ``mix_block`` its blocks; ``mix_slot`` is the slot of
     the block, ``mix_release`` and ``mix_deadline`` are its window; ``mix_in`` says whether the slot
     comes before the first one whose source has run dry, up to which the target weights hold.
-    ``weights`` has at most as many sources as a period has slots.
+    The period is longer than asked for where ``weights`` has many sources.
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
+    period = max(period, SLOTS_EACH * sum(w > 0 for w in weights.values()))
     spark, slots = docs.sparkSession, shares(weights, period)
     period = sum(slots.values())
     seen: dict[str, int] = {}

@@ -66,3 +66,14 @@ def test_all_rows_in_order(spark):
     cut = {r.source: (r.rows, r.cut) for r in X.cut_rows(mixed).collect()}
     assert cut == {s: (sum(r.source == s for r in out), sum(r.source == s and not r.mix_in for r in out)) for s in {r.source for r in out}}
     assert cut["hot"][1] > 0
+
+
+def test_more_sources_than_slots(spark):
+    """The period grows with the sources, and a hot one keeps its weight among many."""
+    df = spark.range(12_200).selectExpr("id AS doc_id", "CASE WHEN id < 200 THEN 'hot' ELSE concat('s', id) END AS source")
+    out = X.mix_tempered(df).collect()
+    assert sorted(r.doc_id for r in out) == list(range(12_200)) and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in out)
+    width = {r.source: r.mix_deadline for r in out if r.mix_block == 0}
+    # 12 001 sources with ten slots each; shares are counts to the power 0.7
+    assert abs(width["hot"] * 200**0.7 / (12_000 + 200**0.7) - 1) < 0.02
+    assert all(abs(width[s] / (12_000 + 200**0.7) - 1) < 0.15 for s in width if s != "hot")
