@@ -1,20 +1,21 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Counts are taken over the whole training part of the corpus. Words give an add-one base
-distribution, with one share for unknown words. Over it stand all bigrams and trigrams that occur,
-smoothed by absolute discounting: each history is a state, each n-gram an arc, and the mass that is
-left over goes to a failure arc to the shorter history. The distribution of every state sums to one.
-
-All n-grams are kept, however rare, in written tables (:class:`Tables`) whose keys are 64-bit hashes
-of the words. A document's trigrams meet them in a join, one row for each document and trigram; those
-that training never saw go on to their histories' failure arcs and to the bigrams.
-
-Which words and n-grams are held by every worker besides depends on their share of all tokens.
-Shares bound their number (no more than x words can each have 1/x of all tokens), so the automaton's
-size has a proven bound at any input. The automaton is a cache: its trigram arcs have the whole
-model's probabilities and spare their trigrams the join; its failure arcs, which hold the mass of
-all that it lacks, score nothing. All other words, of whatever number, are counted too, and meet
-their counts in a join by word: each is rarer than 1/LOCAL_WORDS, so the join has no hot key.
+Words and bigrams of the whole training part are counted, none is left out. Words give an add-one
+base distribution, with one share for unknown words. Over it stands a bigram model under a Dirichlet
+prior of weight PRIOR: p(w | h) = (c(h, w) + PRIOR * base(w)) / (c(h) + PRIOR). As an automaton, each
+word is a state, each bigram an arc, and what is left over, PRIOR / (c(h) + PRIOR), is the weight of
+the failure arc to the root, whose arcs are the words. The distribution of every state sums to one.
+
+The model is never in one place; it grows with the corpus. Documents are tokenised once, into chunks
+of bounded size that are written. Each chunk asks for the counts of its own distinct n-grams:
+sorted 64-bit keys, dealt into parts by range, with the chunk's training counts. A part adds up what
+the chunks sent and answers in the same order, so that only numbers go back. With its answers a
+chunk has exactly the automaton that its own texts can reach, and traverses them left to right.
+Keys are hashes, so parts are even however often an n-gram occurs, and a chunk sends each n-gram
+once. A part's memory is bounded by their number, which follows from the tokens.
+
+Words are told apart by 64-bit hashes, and so are bigrams: two of 10^8 distinct words share one with
+a chance of 0.03 %.
 
 Defined results: a null text counts as empty and has the end token alone; a null identifier is
 scored like any other and counts as training; repeated rows are counted and scored each; an empty
@@ -23,46 +24,34 @@ training part leaves the unknown share alone, so every token scores 0; other col
 
 from __future__ import annotations
 
-import hashlib
-import math
+import uuid
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.session import discard, materialise
+from spindrift.session import materialise
 
-#: Bounds by share of all training tokens: words known to each worker, words in n-grams, words in
-#: trigrams, bigrams, trigrams.
-LOCAL_WORDS, STATE_WORDS, TRIGRAM_WORDS, BIGRAMS, TRIGRAMS = 500_000, 20_000, 400, 300_000, 100_000
-#: Taken off the count of each kept n-gram.
-DISCOUNT = 0.5
+#: Weight of the base distribution in each state, in tokens.
+PRIOR = 4.0
+#: Tokens of a chunk, and of a part: it has as many parts as Spark has shuffle partitions, or more.
+CHUNK_TOKENS, PART_TOKENS = 5_000_000, 4_000_000
 #: The end token; no word is empty.
 END = b""
-#: The hash that stands before the first end token, which no word has.
-PAD = 0
-#: Distinct entries that a counting task holds before it hands them on.
-HELD = 400_000
 
+_U = np.uint64
 
-def words(text: str | None) -> list[bytes]:
-    """Words end at ASCII white space; A-Z are lowered, no more."""
-    return (text or "").encode().lower().split()
-
-
-class Hashes(dict):
-    """Word -> 64-bit hash, remembered for up to HELD words."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD:
-            self.clear()
-        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True) or 1
-        return found
+def words(text: str | bytes | None) -> list[bytes]:
+    """Words end at ASCII white space; A-Z are lowered, no more."""
+    data = text.encode() if isinstance(text, str) else text or b""
+    return data.lower().split()
 
 
 def fold(modulus: int, rest: int) -> Callable[[int | None], bool]:
@@ -70,367 +59,246 @@ def fold(modulus: int, rest: int) -> Callable[[int | None], bool]:
     return lambda doc_id: zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus == rest
 
 
-@dataclass
-class Automaton:
-    """States are numbered from 0, the root. ``known``: word -> (symbol or -1, log10 probability)."""
-
-    known: dict[bytes, tuple[int, float]]
-    arcs: dict[int, tuple[int, float]]
-    backoff: list[float]
-    fail: list[int]
-    start: int
-
-    def score(self, tokens: list[bytes]) -> tuple[float, float, int, Counter, list[int]]:
-        """Log10 probability of the tokens and the end that trigram arcs score; base score, as far as
-        the words are known here; how many are; the others, whose base probability is still to be
-        added; and the places that trigram arcs don't score."""
-        known, arcs, fail = self.known, self.arcs, self.fail
-        total = base = 0.0
-        state, rare, rest = self.start, [], []
-        for place, word in enumerate((*tokens, END)):
-            found = known.get(word)
-            if found is None:
-                rare.append(word)
-                symbol = -1
-            else:
-                symbol, own = found
-                base += own
-            if symbol < 0:
-                state = 0
-                rest.append(place)
-                continue
-            arc = arcs.get(state << 20 | symbol) if fail[state] else None
-            if arc is not None:
-                state = arc[0]
-                total += arc[1]
-                continue
-            rest.append(place)
-            while state:
-                arc = arcs.get(state << 20 | symbol)
-                if arc is not None:
-                    state = arc[0]
-                    break
-                state = fail[state]
-            else:
-                state = symbol + 1
-        return total, base, len(tokens) + 1 - len(rare), Counter(rare), rest
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of bytes, low ones first, as many as the largest needs."""
+    planes = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([planes]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
 
 
-@dataclass
-class Tables:
-    """All n-grams of the training part. ``trigrams(g, h, w, c, p3)``, ``bigrams(h, w, c, p2)``,
-    ``histories(h, bo1)`` and ``words(w, c)``; p2 and p3 are log10 probabilities, bo1 the failure
-    arc's weight. Those of bigram histories follow from :func:`failures`."""
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
 
-    trigrams: DataFrame
-    bigrams: DataFrame
-    histories: DataFrame
-    words: DataFrame
+def bigram_keys(hashes: np.ndarray, history: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each bigram, from its words' hashes."""
+    k = hashes[history] * _U(0x9E3779B97F4A7C15) ^ (hashes[symbol] + _U(0xD6E8FEB86659FD93)) * _U(0xC2B2AE3D27D4EB4F)
+    k = (k ^ (k >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    return k ^ (k >> _U(29))
 
 
 @dataclass
-class Model:
-    """``unigrams(word, c)`` of all training tokens, their number and kinds, the automaton and all
-    n-grams."""
+class Chunk:
+    """Tokenised texts: symbols of the chunk's own words, the end token being symbol 0."""
 
-    unigrams: DataFrame
-    tokens: int
-    kinds: int
-    automaton: Automaton
-    tables: Tables
+    hashes: np.ndarray
+    tokens: np.ndarray
+    sizes: np.ndarray
+    trained: np.ndarray
 
     @property
-    def unknown(self) -> float:
-        return self.tokens + self.kinds + 1
+    def histories(self) -> np.ndarray:
+        """The symbol before each token; every text ends in symbol 0, which stands before the next."""
+        return np.concatenate(([0], self.tokens[:-1]))
+
+    def entries(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, the training count of each, and each token's (kind 1) or each
+        symbol's (kind 0) place among them."""
+        weights = np.repeat(self.trained, self.sizes).astype(np.int64)
+        if kind == 0:
+            keys, weights = self.hashes, np.bincount(self.tokens, weights, len(self.hashes)).astype(np.int64)
+        else:
+            keys = bigram_keys(self.hashes, self.histories, self.tokens)
+        order = np.argsort(keys)
+        ranked = keys[order]
+        heads = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.cumsum(heads) - 1
+        return ranked[heads], np.add.reduceat(weights[order], np.flatnonzero(heads)), place
 
 
-def _training(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+@dataclass
+class Automaton:
+    """States and root arcs by symbol, arcs by number; all weights are log10 probabilities.
 
+    State ``s`` is the history that ends in symbol s. ``symbols`` and ``arcs`` have the training
+    counts of words and bigrams; an arc that training never saw fails to the root.
+    """
 
-def count_words(rows: DataFrame, held_out: Callable[[int | None], bool]) -> DataFrame:
-    """(word, c) over the training rows, combined in each task before it moves."""
+    symbols: np.ndarray
+    arcs: np.ndarray
+    tokens: int
+    kinds: int
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    @property
+    def base(self) -> np.ndarray:
+        return np.log10((self.symbols + 1) / (self.tokens + self.kinds + 1))
 
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
-            counts.clear()
-            return batch
+    def failure(self, states: np.ndarray) -> np.ndarray:
+        return np.log10(PRIOR / (self.symbols[states] + PRIOR))
 
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, doc_id in enumerate(ids):
-                if not held_out(doc_id):
-                    counts.update(words(texts[i].as_py()))
-                    counts[END] += 1
-                    if len(counts) > HELD:
-                        yield flush()
-        if counts:
-            yield flush()
+    def traverse(self, tokens: np.ndarray, histories: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+        """The weight of each step from left to right: along its arc if there is one, else along the
+        failure arc and the root's arc. The state that a step leads to is that of its symbol."""
+        base = self.base[tokens]
+        steps = self.failure(histories) + base
+        seen = np.flatnonzero(self.arcs[arcs])
+        own = PRIOR * 10.0 ** base[seen]
+        steps[seen] = np.log10((self.arcs[arcs[seen]] + own) / (self.symbols[histories[seen]] + PRIOR))
+        return steps
 
-    return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+_RECORD = "chunk long, ids array<long>, sizes binary, trained binary, hashes binary, tokens binary, n long, held_back long"
 
-def count_ngrams(rows: DataFrame, held_out: Callable[[int | None], bool], symbols: dict[bytes, int], trigram_words: int) -> DataFrame:
-    """(n, code, c): bigrams of all symbols and trigrams of the first ``trigram_words`` ones. A code
-    has 20 bits per symbol. The end token also stands before the first word."""
-    sent = rows.sparkSession.sparkContext.broadcast(symbols)
+
+def chunked(docs: DataFrame, held_out: Callable[[int | None], bool], doc_id: str, text: str) -> DataFrame:
+    """The texts as chunks; ``n`` counts all tokens of one, ``held_back`` those not trained on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, end = sent.value.get, sent.value.get(END, -1)
-        held: list[list[int]] = []
+        ids: list[int | None] = []
+        parts: list[np.ndarray] = []
+        vocabulary: defaultdict[bytes, int] = defaultdict()
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            x = np.array([s for one in held for s in one], np.int64)
-            # texts are parted by -2, which no n-gram holds
-            two, three = (x[:-1] >= 0) & (x[1:] >= 0), None
-            low = (x >= 0) & (x < trigram_words)
-            three = low[:-2] & low[1:-1] & low[2:]
-            for n, codes in ((2, (x[:-1] << 20 | x[1:])[two]), (3, (x[:-2] << 40 | x[1:-1] << 20 | x[2:])[three])):
-                found, c = np.unique(codes, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), n, np.int32)), pa.array(found), pa.array(c.astype(np.int64))], ["n", "code", "c"])
-
+        def flush() -> pa.RecordBatch:
+            tokens, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+            trained = np.array([not held_out(i) for i in ids])
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
+            name = uuid.uuid4().int >> 65  # the chunk is written once, and read under this name
+            row = [[name], [ids], [pack(sizes)], [trained.tobytes()], [hashes.tobytes()], [pack(tokens)], [len(tokens)], [int(sizes[~trained].sum())]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], [f.split()[0] for f in _RECORD.split(", ")])
+
+        def begin() -> None:
+            vocabulary.clear()
+            vocabulary.default_factory = vocabulary.__len__
+            vocabulary[END]
+            ids.clear()
+            parts.clear()
+
+        begin()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, doc_id in enumerate(ids):
-                if not held_out(doc_id):
-                    held.append([end, *[get(w, -1) for w in words(texts[i].as_py())], end, -2])
-                    size += len(held[-1])
-                    if size > 2_000_000:
-                        yield from flush()
-                        held, size = [], 0
-        if held:
-            yield from flush()
+            found, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
+            for i, one in enumerate(found):
+                own = words(texts[i].as_py())
+                own.append(END)
+                parts.append(np.fromiter(map(vocabulary.__getitem__, own), np.int32, len(own)))
+                ids.append(one)
+                size += len(own)
+                if size >= CHUNK_TOKENS:
+                    yield flush()
+                    begin()
+                    size = 0
+        if ids:
+            yield flush()
 
-    return rows.mapInArrow(run, "n int, code long, c long").groupBy("n", "code").agg(F.sum("c").alias("c"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, _RECORD)
 
 
-def trigram_rows(docs: list[tuple[int, np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, ...]:
-    """(row, g, h, w, k) of the distinct trigrams of each row. docs: the row, its words' hashes and
-    the places that count, or all. PAD and the end token stand before the first word."""
-    end = Hashes()[END]
-    parts = [np.concatenate(([PAD, end], x, [end])).astype(np.int64) for _, x, _ in docs]
-    cut = [np.arange(len(x) - 2) if places is None else places for x, (_, _, places) in zip(parts, docs)]
-    row = np.repeat(np.array([d[0] for d in docs], np.int64), [len(c) for c in cut])
-    g, h, w = (np.concatenate([x[c + i] for x, c in zip(parts, cut)]) for i in range(3))
-    order = np.lexsort((w, h, g, row))
-    columns = [x[order] for x in (row, g, h, w)]
-    first = np.ones(len(order), bool)
-    if len(order):
-        first[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
-    starts = np.flatnonzero(first)
-    return *[x[first] for x in columns], np.diff(np.append(starts, len(order)))
+def _read(row: dict) -> Chunk:
+    trained = np.frombuffer(row["trained"], bool)
+    return Chunk(np.frombuffer(row["hashes"], np.uint64), unpack(row["tokens"]).astype(np.int64), unpack(row["sizes"]).astype(np.int64), trained)
 
 
-def count_all(rows: DataFrame, held_out: Callable[[int | None], bool]) -> DataFrame:
-    """(g, h, w, c): all trigrams of the training rows, combined in each task before they move."""
+def asked(chunks: DataFrame, parts: int) -> DataFrame:
+    """``kind, part, chunk, first, steps, counts``: a chunk's sorted keys of one part, as the first one
+    and the steps between them, with its training counts. Kind 0 are words, 1 bigrams."""
+    bounds = np.array([-(-(p << 64) // parts) for p in range(parts)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Hashes(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            _, *columns = trigram_rows(held)
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["g", "h", "w", "c"])
-
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, doc_id in enumerate(ids):
-                if not held_out(doc_id):
-                    found = words(texts[i].as_py())
-                    held.append((0, np.array([hashes[w] for w in found], np.int64), None))
-                    size += len(found) + 1
-                    if size > 1_000_000:
-                        yield flush()
-                        held, size = [], 0
-        if held:
-            yield flush()
-
-    return rows.mapInArrow(run, "g long, h long, w long, c long").groupBy("g", "h", "w").agg(F.sum("c").alias("c"))
-
-
-def tabulate(rows: DataFrame, held_out: Callable[[int | None], bool], share: float) -> Tables:
-    """The tables of all n-grams. Each token ends one trigram and one bigram, so shorter counts are
-    sums of longer ones. share: what one count is in the base distribution."""
-    counts = materialise(count_all(rows, held_out), "lm-counts")
-    pairs = materialise(counts.groupBy("h", "w").agg(F.sum("c").alias("c")), "lm-pairs")
-    single = materialise(pairs.groupBy("w").agg(F.sum("c").alias("c")), "lm-single")
-    own = single.select("w", ((F.col("c") + 1) * F.lit(share)).alias("_own"))
-    left = (DISCOUNT * F.count(F.lit(1)) / F.sum("c")) / (1 - F.sum("_own"))
-    histories = pairs.join(own, "w").groupBy("h").agg(F.sum("c").alias("n"), F.log10(left).alias("bo1"))
-    histories = materialise(histories, "lm-histories")
-    p2 = F.log10((F.col("c") - DISCOUNT) / F.col("n"))
-    bigrams = materialise(pairs.join(histories.select("h", "n"), "h").select("h", "w", "c", p2.alias("p2")), "lm-bigrams")
-    # a history's tokens are those of the bigram that it is; the padded one is the end token's
-    seen = pairs.select(F.col("h").alias("g"), F.col("w").alias("h"), F.col("c").alias("n"))
-    start = histories.where(F.col("h") == Hashes()[END]).select(F.lit(PAD).cast("long").alias("g"), "h", "n")
-    p3 = F.log10((F.col("c") - DISCOUNT) / F.col("n"))
-    trigrams = counts.join(seen.unionByName(start), ["g", "h"]).select("g", "h", "w", "c", p3.alias("p3"))
-    trigrams = materialise(trigrams, "lm-trigrams")
-    discard(counts)
-    discard(pairs)
-    return Tables(trigrams, bigrams, histories.select("h", "bo1"), single)
-
-
-def failures(tables: Tables, asked: DataFrame) -> DataFrame:
-    """(g, h, bo2) of those ``asked(g, h)`` that training saw: the weights of their failure arcs. The
-    padded history stands for the end token's and has none of its own."""
-    arcs = tables.trigrams.where(F.col("g") != PAD).join(asked, ["g", "h"], "left_semi").join(tables.bigrams.select("h", "w", "p2"), ["h", "w"])
-    taken = lambda c: F.sum(F.pow(F.lit(10.0), F.col(c)))
-    return arcs.groupBy("g", "h").agg(F.log10((1 - taken("p3")) / (1 - taken("p2"))).alias("bo2"))
-
-
-def build(known: dict[bytes, tuple[int, float]], counts: list[int], ngrams: list[tuple[int, int, int]]) -> Automaton:
-    """The automaton of kept n-grams (n, code, count). ``counts``: of each symbol as a history."""
-    size = len(counts)
-    low = (1 << 20) - 1
-    own = [0.0] * size
-    for symbol, p in known.values():
-        if symbol >= 0:
-            own[symbol] = 10.0**p
-    two: dict[int, dict[int, int]] = defaultdict(dict)
-    three: dict[int, dict[int, int]] = defaultdict(dict)
-    for n, code, c in ngrams:
-        (two if n == 2 else three)[code >> 20][code & low] = c
-    # a trigram hangs on a kept bigram
-    three = {gh: found for gh, found in three.items() if gh & low in two.get(gh >> 20, {})}
-    state_of = {gh: size + 1 + i for i, gh in enumerate(sorted(three))}
-    backoff, fail = [0.0] * (size + 1 + len(state_of)), [0] * (size + 1 + len(state_of))
-    arcs: dict[int, tuple[int, float]] = {}
-    second: dict[int, float] = {}
-    for h, found in two.items():
-        ps = {w: (c - DISCOUNT) / counts[h] for w, c in found.items()}
-        backoff[h + 1] = math.log10((1 - sum(ps.values())) / (1 - sum(own[w] for w in found)))
-        for w, p in ps.items():
-            second[h << 20 | w] = p
-            arcs[(h + 1) << 20 | w] = (state_of.get(h << 20 | w, w + 1), math.log10(p))
-    for gh, found in three.items():
-        h, state, seen = gh & low, state_of[gh], two[gh >> 20][gh & low]
-        fail[state] = h + 1
-        shrink = 10.0 ** backoff[h + 1]
-        ps = {w: (c - DISCOUNT) / seen for w, c in found.items()}
-        lower = sum(second.get(h << 20 | w, shrink * own[w]) for w in found)
-        backoff[state] = math.log10((1 - sum(ps.values())) / (1 - lower))
-        for w, p in ps.items():
-            arcs[state << 20 | w] = (state_of.get(h << 20 | w, w + 1), math.log10(p))
-    end = known.get(END, (-1, 0.0))[0]
-    return Automaton(known, arcs, backoff, fail, end + 1)
-
-
-def train(docs: DataFrame, held_out: Callable[[int | None], bool] = lambda doc_id: False, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Count the documents that aren't held out and build the model."""
-    rows = _training(docs, doc_id, text)
-    unigrams = materialise(count_words(rows, held_out), "lm-unigrams")
-    size = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = size["n"], size["v"]
-    # at most LOCAL_WORDS rows, by their share
-    common = unigrams.where(F.col("c") * LOCAL_WORDS >= n).collect()
-    common.sort(key=lambda r: (-r["c"], bytes(r["word"])))
-    known, symbols, counts, trigram_words = {}, {}, [], 0
-    for r in common:
-        word, c = bytes(r["word"]), r["c"]
-        symbol = -1
-        if c * STATE_WORDS >= n:
-            symbol = symbols[word] = len(counts)
-            counts.append(c)
-            trigram_words += c * TRIGRAM_WORDS >= n
-        known[word] = (symbol, math.log10((c + 1) / (n + v + 1)))
-    found = count_ngrams(rows, held_out, symbols, trigram_words)
-    kept = found.where((F.col("n") == 2) & (F.col("c") * BIGRAMS >= n) | (F.col("n") == 3) & (F.col("c") * TRIGRAMS >= n))
-    end = symbols.get(END, -1)
-    # nothing follows the end within a text
-    ngrams = [(r["n"], r["code"], r["c"]) for r in kept.collect()]
-    ngrams = [g for g in ngrams if g[0] == 2 or (g[1] >> 20) & ((1 << 20) - 1) != end]
-    return Model(unigrams, n, v, build(known, counts, ngrams), tabulate(rows, held_out, 1 / (n + v + 1)))
-
-
-def unscored(rows: DataFrame, automaton: Automaton) -> DataFrame:
-    """(row, g, h, w, k): the trigrams of each row that no arc of the automaton scores."""
-    sent = rows.sparkSession.sparkContext.broadcast(automaton)
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in ("chunk", "sizes", "trained", "hashes", "tokens")}
+                chunk = _read(row)
+                for kind in (0, 1):
+                    keys, counts, _ = chunk.entries(kind)
+                    cuts = [*np.searchsorted(keys, bounds).tolist(), len(keys)]
+                    out: list[list] = [[] for _ in range(6)]
+                    for part, (a, z) in enumerate(zip(cuts, cuts[1:])):
+                        if a < z:
+                            one = keys[a:z]
+                            fields = (kind, part, row["chunk"], int(one[0]) - (1 << 63), pack(np.diff(one, prepend=one[:1])), pack(counts[a:z]))
+                            for column, v in zip(out, fields):
+                                column.append(v)
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["kind", "part", "chunk", "first", "steps", "counts"])
+
+    return chunks.select("chunk", "sizes", "trained", "hashes", "tokens").mapInArrow(run, "kind int, part int, chunk long, first long, steps binary, counts binary")
+
+
+def answered(questions: DataFrame) -> DataFrame:
+    """``chunk, kind, part, totals, known``: the counts of all chunks together, in the order of each
+    chunk's keys; ``known``, on one row of each part, has its keys that training saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Hashes(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in trigram_rows(held)], ["row", "g", "h", "w", "k"])
-
+        # rows come sorted by kind and part, which may go on in the next batch
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        name: tuple[int, int] | None = None
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(2)
-            for i, key in enumerate(keys):
-                tokens = words(texts[i].as_py())
-                places = np.array(sent.value.score(tokens)[-1], np.int64)
-                held.append((key, np.array([hashes[w] for w in tokens], np.int64), places))
-                size += len(tokens) + 1
-                if size > 500_000:
-                    yield flush()
-                    held, size = [], 0
+            for i in range(batch.num_rows):
+                kind, part, chunk, first, steps, counts = (c[i].as_py() for c in batch.columns)
+                if (kind, part) != name and held:
+                    yield add_up(name, held)
+                    held = []
+                name = kind, part
+                held.append((chunk, np.cumsum(unpack(steps)) + _U(first + (1 << 63)), unpack(counts).astype(np.int64)))
         if held:
-            yield flush()
-
-    return rows.mapInArrow(run, "row long, g long, h long, w long, k long")
-
-
-def ngram_scores(rows: DataFrame, model: Model) -> DataFrame:
-    """(row, total): what the automaton doesn't score, by the tables."""
-    tables = model.tables
-    met = unscored(rows, model.automaton).join(tables.trigrams.select("g", "h", "w", "p3"), ["g", "h", "w"], "left")
-    # what was found is summed up for each row, what was not keeps its words
-    missed = [F.when(F.col("p3").isNull(), F.col(c)).alias(c) for c in ("g", "h", "w")]
-    met = met.groupBy("row", *missed).agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("p3")).alias("total"))
-    met = materialise(met, "lm-met")
-    rest = met.where("w IS NOT NULL").select("row", "g", "h", "w", "k")
-    rest = rest.join(failures(tables, rest.select("g", "h").distinct()), ["g", "h"], "left")
-    rest = rest.join(tables.bigrams.select("h", "w", "p2"), ["h", "w"], "left").join(tables.histories, "h", "left").join(tables.words, "w", "left")
-    own = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.unknown)))
-    p = F.coalesce("bo2", F.lit(0.0)) + F.coalesce(F.col("p2"), F.coalesce("bo1", F.lit(0.0)) + own)
-    return met.where("w IS NULL").select("row", "total").unionByName(rest.select("row", (F.col("k") * p).alias("total")))
-
-
-def score(docs: DataFrame, model: Model, held_out: Callable[[int | None], bool] = lambda doc_id: False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
+            yield add_up(name, held)
+
+    def add_up(name: tuple[int, int], held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys = np.concatenate([h[1] for h in held])
+        counts = np.concatenate([h[2] for h in held])
+        order = np.argsort(keys)
+        ranked = keys[order]
+        heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        sums = np.add.reduceat(counts[order], heads)
+        counts[order] = np.repeat(sums, np.diff(np.append(heads, len(keys))))
+        ends = np.cumsum([len(h[1]) for h in held])
+        totals = [pack(counts[z - len(h[1]) : z]) for h, z in zip(held, ends)]
+        m = len(held)
+        columns = [[h[0] for h in held], [name[0]] * m, [name[1]] * m, totals, [int((sums > 0).sum()), *[0] * (m - 1)]]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["chunk", "kind", "part", "totals", "known"])
+
+    dealt = questions.repartition("kind", "part").sortWithinPartitions("kind", "part")
+    return dealt.mapInArrow(run, "chunk long, kind int, part int, totals binary, known long")
+
+
+def score(docs: DataFrame, held_out: Callable[[int | None], bool] = lambda doc_id: False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Learn from the rows that aren't held out and score all: ``doc_id, held_out, n_tokens, n_known,
+    train_tokens, base_score, score, once_share``. The last is the share of a text's tokens whose
+    bigram training saw once at most."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model.automaton)
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "total", "word", "k"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+    chunks = materialise(chunked(docs, held_out, doc_id, text), "lm-chunks", compression="lz4")
+    size = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") - F.col("held_back")), F.lit(0)).alias("trained")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["n"] // PART_TOKENS))
+    answers = materialise(answered(asked(chunks, parts)), "lm-answers", compression="lz4")
+    tokens, kinds = size["trained"], answers.where("kind = 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "once_share"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = sent.value
+        # a chunk's record comes first, then its answers for words and for bigrams, in order of keys
+        record, told = None, ([], [])
         for batch in batches:
-            keys, ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            out: list[list] = [[] for _ in names]
-            for i, key in enumerate(keys):
-                tokens = words(texts[i].as_py())
-                total, base, n_known, rare, _ = automaton.score(tokens)
-                for column, value in zip(out, (key, ids[i], held_out(ids[i]), len(tokens) + 1, n_known, base, total, None, None)):
-                    column.append(value)
-                if rare:
-                    m = len(rare)
-                    for column, values in zip(out, ([key] * m, *[[None] * m] * 6, rare.keys(), rare.values())):
-                        column.extend(values)
-                if len(out[0]) > 200_000 or i == len(keys) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
-                    out = [[] for _ in names]
-
-    rows = _training(docs, doc_id, text).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():  # read twice, and rows may change places
-        rows = materialise(rows, "lm-rows")
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, total double, word binary, k long"
-    scored = materialise(rows.mapInArrow(run, schema), "lm-scored")
-    # counts of words that no worker holds, one row per row and word
-    tail = scored.where("word IS NOT NULL").select("row", "word", "k").join(model.unigrams, "word", "left")
-    p = F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.unknown)))
-    zero = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"))]
-    added = tail.select("row", *zero, F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("n_known"), p.alias("base"))
-    parts = added.groupBy("row").agg(F.sum("n_known").alias("n_known"), F.sum("base").alias("base"))
-    whole = scored.where("word IS NULL").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "total")
-    more = parts.select("row", *zero, "n_known", "base", F.lit(0.0).alias("total"))
-    met = ngram_scores(rows, model).groupBy("row").agg(F.sum("total").alias("total"))
-    more = more.unionByName(met.select("row", *zero, F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), "total"))
-    return (
-        whole.unionByName(more)
-        .groupBy("row")
-        .agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("n_known", "base", "total")])
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("total").alias("score"))
-    )
+            for i in range(batch.num_rows):
+                kind = batch.column("kind")[i].as_py()
+                if kind >= 0:
+                    told[kind].append(unpack(batch.column("totals")[i].as_py()))
+                    continue
+                if record is not None:
+                    yield scored(record, *told)
+                record, told = {name: batch.column(name)[i].as_py() for name in ("ids", "sizes", "trained", "hashes", "tokens")}, ([], [])
+        if record is not None:
+            yield scored(record, *told)
+
+    def scored(record: dict, known: list[np.ndarray], pairs: list[np.ndarray]) -> pa.RecordBatch:
+        chunk = _read(record)
+        symbols = np.concatenate(known).astype(np.int64)[chunk.entries(0)[2]]
+        arcs = chunk.entries(1)[2]
+        automaton = Automaton(symbols, np.concatenate(pairs).astype(np.int64), tokens, kinds)
+        steps = automaton.traverse(chunk.tokens, chunk.histories, arcs)
+        starts = np.cumsum(chunk.sizes) - chunk.sizes
+        per_text = lambda values: np.add.reduceat(values, starts)
+        once = per_text((automaton.arcs[arcs] <= 1).astype(np.int64)) / chunk.sizes
+        n_known = per_text((symbols[chunk.tokens] > 0).astype(np.int64))
+        columns = [pa.array(record["ids"], pa.int64()), pa.array(~chunk.trained), pa.array(chunk.sizes), pa.array(n_known), pa.array(np.full(len(starts), tokens, np.int64))]
+        columns += [pa.array(v, pa.float64()) for v in (per_text(automaton.base[chunk.tokens]), per_text(steps), once)]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    records = chunks.select("chunk", F.lit(-1).alias("kind"), F.lit(-1).alias("part"), "ids", "sizes", "trained", "hashes", "tokens")
+    both = records.unionByName(answers.select("chunk", "kind", "part", "totals"), allowMissingColumns=True)
+    dealt = both.repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
+    return dealt.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, once_share double")

@@ -1,130 +1,124 @@
 import math
 import random
+import zlib
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from spindrift.llm import lm
 
 
-def plain(rows, held_out):
-    counts = Counter()
-    for i, t in rows:
-        if not held_out(i):
-            counts.update(lm.words(t) + [lm.END])
-    n, v = sum(counts.values()), len(counts)
-    out = []
-    for i, t in rows:
-        w = lm.words(t) + [lm.END]
-        out.append((i, held_out(i), len(w), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)))
-    return out
+def brute_force(rows, held_out):
+    """(doc_id, held_out, n_tokens, n_known, base, score, once share) by dictionaries."""
+    texts = [(i, lm.words(t) + [lm.END], held_out(i)) for i, t in rows]
+    one, two = Counter(), Counter()
+    for _, w, out in texts:
+        if not out:
+            one.update(w)
+            two.update(zip([lm.END, *w], w))
+    n, v = sum(one.values()), len(one)
+    result = []
+    for i, w, out in texts:
+        base = [(one[x] + 1) / (n + v + 1) for x in w]
+        pairs = list(zip([lm.END, *w], w))
+        full = [(two[h, x] + lm.PRIOR * p) / (one[h] + lm.PRIOR) for (h, x), p in zip(pairs, base)]
+        once = sum(two[p] <= 1 for p in pairs) / len(w)
+        result.append((i, out, len(w), sum(one[x] > 0 for x in w), n, sum(map(math.log10, base)), sum(map(math.log10, full)), once))
+    return result
+
+
+def same(found, expected):
+    by = lambda r: (str(r[0]), r[2], round(r[5], 6), round(r[6], 6))
+    found, expected = sorted(map(tuple, found), key=by), sorted(expected, key=by)
+    assert [r[:5] for r in found] == [r[:5] for r in expected]
+    for f, e in zip(found, expected):
+        assert f[5:] == pytest.approx(e[5:], rel=1e-9, abs=1e-9)
+
+
+@pytest.fixture(params=[(5_000_000, 4_000_000), (500, 300)], ids=["whole", "many chunks and parts"])
+def sizes(request, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", request.param[0])
+    monkeypatch.setattr(lm, "PART_TOKENS", request.param[1])
+
+
+def test_documents(documents, sizes):
+    held_out = lm.fold(7, 2)
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    found = lm.score(documents, held_out).collect()
+    same(found, brute_force(rows, held_out))
+    assert {r.held_out for r in found} == {True, False}
 
 
-def key(r):
-    return str(r[:5]), r[5]
+def test_odd_rows(odd, empty, sizes):
+    held_out = lm.fold(3, 1)
+    same(lm.score(odd, held_out).collect(), brute_force([(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()], held_out))
+    assert lm.score(empty).collect() == []
+    assert all(r.base_score == r.score == 0 and r.n_known == 0 for r in lm.score(odd, lambda i: True).collect())
 
 
-def test_base_score(spark, documents, odd, empty, monkeypatch):
-    """Exact on all words, however few of them a worker holds."""
-    for df, local in ((documents, 500_000), (documents, 50), (odd, 500_000)):
-        monkeypatch.setattr(lm, "LOCAL_WORDS", local)
-        held_out = lm.fold(7, 2)
-        found = lm.score(df, lm.train(df, held_out), held_out).collect()
-        given = plain([(r.doc_id, r.text) for r in df.collect()], held_out)
-        rows = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in found), key=key)
-        for a, b in zip(rows, sorted(given, key=key), strict=True):
-            assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9, abs_tol=1e-9)
-    assert lm.score(empty, lm.train(empty)).collect() == []
-    untrained = lm.score(odd, lm.train(empty)).collect()
-    assert len(untrained) == odd.count() and all(r.base_score == r.score == 0 and r.train_tokens == 0 for r in untrained)
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "x", 2), (2, None, 6, "y", 3)], "doc_id int, text string, chunk long, kind string, part int")
+    same(lm.score(df).collect(), brute_force([(1, "a b"), (2, None)], lambda i: False))
 
 
-def test_every_state_sums_to_one_and_model_helps(spark, documents):
-    held_out = lm.fold(7, 2)
-    model = lm.train(documents, held_out)
-    a = model.automaton
-    own = {s: 10**p for s, p in a.known.values() if s >= 0}
-    rest = 1 - sum(own.values())
-
-    def p(state, symbol):
-        total = 1.0
-        while state:
-            arc = a.arcs.get(state << 20 | symbol)
-            if arc:
-                return total * 10 ** arc[1]
-            total *= 10 ** a.backoff[state]
-            state = a.fail[state]
-        return total * own[symbol]
-
-    for start in random.Random(1).sample(range(len(a.backoff)), 25):
-        left, state = 1.0, start
-        while state:
-            left *= 10 ** a.backoff[state]
-            state = a.fail[state]
-        assert math.isclose(sum(p(start, s) for s in own) + left * rest, 1, abs_tol=1e-9)
-    rows = [r for r in lm.score(documents, model, held_out).collect() if r.held_out]
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
-
-
-def test_counts_and_traversal(spark):
-    """Hand-made counts: every bigram of the common text is kept, and its trigrams too."""
-    df = spark.createDataFrame([(i, "a b a b c") for i in range(20)] + [(99, "rare z")], "doc_id long, text string")
-    model = lm.train(df)
-    assert (model.tokens, model.kinds) == (20 * 6 + 3, 6)
-    arcs = model.automaton.arcs
-    symbol = {w: s for w, (s, _) in model.automaton.known.items()}
-    p = lambda h, w: 10 ** arcs[(symbol[h] + 1) << 20 | symbol[w]][1]
-    assert math.isclose(p(b"a", b"b"), (40 - lm.DISCOUNT) / 40) and math.isclose(p(b"b", b"c"), (20 - lm.DISCOUNT) / 40)
-    assert math.isclose(p(lm.END, b"a"), (20 - lm.DISCOUNT) / 21)
-    state = arcs[(symbol[b"a"] + 1) << 20 | symbol[b"b"]][0]
-    assert math.isclose(10 ** arcs[state << 20 | symbol[b"c"]][1], (20 - lm.DISCOUNT) / 40)
-
-
-def plain_scores(rows, held_out):
-    """The backoff model of all bigrams and trigrams, by dictionaries."""
-    uni, two, three = Counter(), Counter(), Counter()
-    for i, t in rows:
-        if not held_out(i):
-            x = [lm.END, *lm.words(t), lm.END]
-            uni.update(x[1:])
-            two.update(zip(x, x[1:]))
-            three.update(zip(x, x[1:], x[2:]))
-    n, v = sum(uni.values()), len(uni)
-    after, after2 = {}, {}
-    for h, w in two:
-        after.setdefault(h, []).append(w)
-    for g, h, w in three:
-        after2.setdefault((g, h), []).append(w)
-    own = lambda w: (uni[w] + 1) / (n + v + 1)
-
-    def p2(h, w):
-        if (h, w) in two:
-            return (two[h, w] - lm.DISCOUNT) / uni[h]
-        if h not in after:
-            return own(w)
-        return own(w) * lm.DISCOUNT * len(after[h]) / uni[h] / (1 - sum(own(z) for z in after[h]))
-
-    def p3(g, h, w):
-        if (g, h, w) in three:
-            return (three[g, h, w] - lm.DISCOUNT) / two[g, h]
-        if (g, h) not in after2:
-            return p2(h, w)
-        return p2(h, w) * lm.DISCOUNT * len(after2[g, h]) / two[g, h] / (1 - sum(p2(h, z) for z in after2[g, h]))
-
-    out = []
-    for i, t in rows:
-        x = [lm.END, *lm.words(t), lm.END]
-        out.append((str(i), math.log10(p2(*x[:2])) + sum(math.log10(p3(*z)) for z in zip(x, x[1:], x[2:]))))
-    return sorted(out)
-
-
-def test_all_ngrams_count(spark, documents, odd, monkeypatch):
-    """Scores are those of every n-gram, whatever part of them a worker holds."""
-    held_out = lm.fold(7, 2)
-    docs = documents.limit(60).unionByName(odd)
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    expected = plain_scores(rows, held_out)
-    for local, trigrams in ((500_000, 100_000), (50, 1)):
-        monkeypatch.setattr(lm, "LOCAL_WORDS", local)
-        monkeypatch.setattr(lm, "TRIGRAMS", trigrams)
-        found = sorted((str(r.doc_id), r.score) for r in lm.score(docs, lm.train(docs, held_out), held_out).collect())
-        for a, b in zip(found, expected, strict=True):
-            assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9, abs_tol=1e-9)
+def test_equal_tables_in_several_partitions(spark):
+    rows = [(1, "a b c a b")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    same(lm.score(df).collect(), brute_force(rows, lambda i: False))
+
+
+def test_hot_history(spark):
+    """One history before a third of all tokens, and words that always follow another."""
+    r = random.Random(3)
+    rows = [(i, " ".join(w for _ in range(200) for w in ("the", f"w{r.randrange(3000)}", "x"))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    same(lm.score(df, lm.fold(7, 2)).collect(), brute_force(rows, lm.fold(7, 2)))
+
+
+def test_states_sum_to_one():
+    r = random.Random(1)
+    text = [r.randrange(1, 8) for _ in range(300)]
+    tokens = np.array([*text, 0])
+    symbols = np.bincount(tokens, minlength=10)  # 8 and 9 are unknown to training
+    pairs = Counter(zip([0, *text], tokens.tolist()))
+    kinds = int((symbols > 0).sum())
+    unseen = 1 / (len(tokens) + kinds + 1)
+    for history in range(8):
+        arcs = np.array([pairs[history, w] for w in range(10)])
+        steps = lm.Automaton(symbols, arcs, len(tokens), kinds).traverse(np.arange(10), np.full(10, history), np.arange(10))
+        known = (10.0 ** steps)[:8].sum()
+        share = lm.PRIOR / (symbols[history] + lm.PRIOR)
+        assert known + share * unseen == pytest.approx(1)
+        assert 10 ** steps[9] == pytest.approx(share * unseen)
+
+
+def test_what_is_asked_grows_with_the_corpus(spark):
+    def rows(n):
+        r = random.Random(n)
+        return spark.createDataFrame([(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(100))) for i in range(n)], "doc_id long, text string")
+
+    def keys(n):
+        found = lm.asked(lm.chunked(rows(n), lambda i: False, "doc_id", "text"), 4).where("kind = 1").collect()
+        return sum(len(lm.unpack(bytes(r.counts))) for r in found)
+
+    small, large = keys(50), keys(500)
+    assert large > 9 * small > 9 * 4900
+
+
+def test_packing():
+    for values in ([], [0], [255, 256, 0], [2**64 - 1, 5], list(range(1000))):
+        x = np.array(values, np.uint64)
+        assert lm.unpack(lm.pack(x)).tolist() == values
+
+
+def test_documents_that_occur_twice(spark):
+    r = random.Random(7)
+    texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(120)) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:20])], "doc_id long, text string")
+    share = {x.doc_id: x.once_share for x in lm.score(df).collect()}
+    assert max(share[i] for i in [*range(20), *range(60, 80)]) < 0.1 < 0.8 < min(share[i] for i in range(20, 60))
+
+
+def test_fold():
+    assert [lm.fold(7, 2)(i) for i in (1, 2, None)] == [zlib.crc32(x) % 7 == 2 for x in (b"1", b"2", b"")]
