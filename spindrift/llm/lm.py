@@ -41,7 +41,7 @@ from spindrift.session import materialise
 #: Weight of the base distribution in each state, in tokens.
 PRIOR = 4.0
 #: Tokens of a chunk, and of a part: it has as many parts as Spark has shuffle partitions, or more.
-CHUNK_TOKENS, PART_TOKENS = 5_000_000, 4_000_000
+CHUNK_TOKENS, PART_TOKENS = 1_500_000, 2_000_000
 #: The end token; no word is empty.
 END = b""
 
