@@ -1,13 +1,19 @@
 """Main text of web pages: page structure, and a suffix array over each host's token streams.
 
-A page is parsed once into blocks. Inside its article (``article``, ``main``) everything but
-chrome is text: menus, headers of the page, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are chrome, by element, role, class or id. All words outside the article
-make up the page's token stream. Streams of a host are searched for long stretches that distinct
-pages share, by :mod:`spindrift.llm.repeats`; on pages without an article, whose text can only be
-told from boilerplate by repetition, covered words are removed and unique runs are kept.
+A page is parsed once into blocks. Elements and roles that are never text (``nav``, ``footer``, ``form``,
+``aside``, scripts, styles) are chrome, and so is what a class or id calls a menu, advert, sidebar,
+cookie notice, footer or reader comment. All other text is either in the page's article (``article``,
+``main``) or in doubt: what lies outside of any article, on pages without one, and what a class or id
+inside an article calls by a word that chrome and text share (header, related, widget, ...).
 
-Articles are left as they are: sentences that several articles of a host share are text of each.
+The words outside the article and those in doubt make up the page's token stream. Streams of a host are
+searched for long stretches that distinct pages share, by :mod:`spindrift.llm.repeats`. Covered words in
+doubt are boilerplate and go, unique runs stay; ``n_boilerplate`` counts the covered words of a page's
+whole stream. Articles are left as they are: sentences that several articles of a host share are text
+of each.
+
+Markup is read as browsers read it: a quote counts only where a value begins, and an unclosed one runs to
+the next quote or to the end. Every pattern takes time in proportion to the page.
 
 Defined results: null and blank html give an empty text; a page without any text gives an empty
 text; a null url is a host of its own; rows with equal url and html are one page; markup that
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,24 +36,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.repeats import Shape, find
-from spindrift.llm.shared import MemberFilter
 from spindrift.llm.suffix_dedup import merged
 from spindrift.session import materialise
 
 #: Words of a stretch that counts as boilerplate when distinct pages of a host share it.
 STRETCH = 12
 
+#: An attribute: its name, and the value in quotes or without.
+_VALUE = r"\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|(?=>|\Z))"
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\s+|/|[^\s\"'>/]+|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)"
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE})?+)*+)(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?)?+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 #: Elements whose content isn't markup.
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
+_END_OF = {name: re.compile(rf"</{name}\b[^>]*+>", re.I) for name in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -54,45 +63,57 @@ _BLOCK = set(
 )
 _CHROME = set("nav aside footer form dialog menu button select svg object head".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar"}
-#: Words of a class or id that mark chrome.
+#: Words of a class or id that mark chrome, and those that mark it outside of articles; inside, they
+#: leave it in doubt.
 _MARKS = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
-    "disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted "
-    "promotion related replies respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
+    "footer gdpr masthead menu nav navbar navigation newsletter pagination pager respond sidebar signup skyscraper sponsor sponsored subscribe subscription".split()
 )
+_DOUBTFUL = set("banner disclaimer header login modal notice notices popup promo promoted promotion related replies share sharing social toolbar widget widgets".split())
 _ARTICLE = {"article", "main"}
 
 
 @dataclass
 class Page:
-    """Text blocks of a page: ``main`` inside its article, ``open`` outside of article and chrome;
-    ``outside`` has all words outside the article, and ``places`` where each open block is there."""
+    """``blocks`` of text as (place in the stream, text), the place being -1 for what isn't in doubt; the
+    ``stream`` of words outside the article and in doubt. ``has_article``: blocks outside are left out."""
 
-    main: list[str] = field(default_factory=list)
-    open: list[str] = field(default_factory=list)
-    places: list[int] = field(default_factory=list)
-    outside: list[str] = field(default_factory=list)
+    blocks: list[tuple[int, str]] = field(default_factory=list)
+    stream: list[str] = field(default_factory=list)
     has_article: bool = False
 
 
-def _is_chrome(name: str, attrs: str, in_article: bool) -> bool:
+#: What an element is: text, in doubt, or chrome.
+_TEXT, _DOUBT, _CHROME_KIND = 0, 1, 2
+
+
+def _kind(name: str, attrs: str, in_article: bool) -> int:
     if name in _CHROME or name == "header" and not in_article:
-        return True
+        return _CHROME_KIND
+    kind = _TEXT
+    if name in ("html", "body", "article", "main"):
+        return kind
     for key, *values in _ATTR.findall(attrs) if attrs else ():
         key, value = key.lower(), "".join(values).lower()
-        if key == "role" and value in _ROLES or key == "aria-hidden" and value == "true":
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and not _MARKS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return name not in ("article", "main", "body", "html") and bool(attrs) and re.search(r"(?:^|\s)hidden(?=\s|$|=)", attrs) is not None
+        if key == "hidden" or key == "role" and value in _ROLES or key == "aria-hidden" and value == "true":
+            return _CHROME_KIND
+        if key in ("class", "id"):
+            found = _SPLIT.split(value)
+            if not _MARKS.isdisjoint(found):
+                return _CHROME_KIND
+            if not _DOUBTFUL.isdisjoint(found):
+                kind = _DOUBT if in_article else _CHROME_KIND
+    return kind
 
 
 def parse(html: str | None) -> Page:
     """One pass over the markup with a stack of the elements that matter."""
     page, html = Page(), html or ""
-    stack: list[tuple[str, bool, bool]] = []  # name, chrome, article
-    chrome = article = 0
+    stack: list[tuple[str, int, bool]] = []  # name, kind, article
+    names: Counter[str] = Counter()  # of the stack
+    chrome = doubt = article = 0
     text: list[str] = []
+    outside: list[tuple[int, str]] = []
     at = 0
 
     def end_block() -> None:
@@ -100,18 +121,27 @@ def parse(html: str | None) -> Page:
         text.clear()
         if not block:
             return
-        if article and not chrome:
-            page.main.append(block)
-            return
+        place = -1
+        if chrome or doubt or not article:
+            place = len(page.stream)
+            page.stream.extend(block.split(" "))
         if not chrome:
-            page.open.append(block)
-            page.places.append(len(page.outside))
-        page.outside.extend(block.split(" "))
+            (page.blocks if article else outside).append((place, block))
+
+    def push(name: str, kind: int, is_article: bool) -> None:
+        nonlocal chrome, doubt, article
+        stack.append((name, kind, is_article))
+        names[name] += 1
+        chrome += kind == _CHROME_KIND
+        doubt += kind == _DOUBT
+        article += is_article
 
     def pop(depth: int) -> None:
-        nonlocal chrome, article
-        for _, was_chrome, was_article in stack[depth:]:
-            chrome -= was_chrome
+        nonlocal chrome, doubt, article
+        for name, kind, was_article in stack[depth:]:
+            names[name] -= 1
+            chrome -= kind == _CHROME_KIND
+            doubt -= kind == _DOUBT
             article -= was_article
         del stack[depth:]
 
@@ -127,16 +157,14 @@ def parse(html: str | None) -> Page:
             continue
         if name in _BLOCK or name in _ARTICLE:
             end_block()
-        elif name in ("br", "td", "th", "wbr"):
-            text.append(" " if name != "wbr" else "")
+        elif name in ("br", "td", "th"):
+            text.append(" ")
         if m["close"]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    pop(depth)
-                    break
+            if names[name]:
+                pop(next(depth for depth in range(len(stack) - 1, -1, -1) if stack[depth][0] == name))
             continue
         if name in _RAW:
-            stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+            stop = _END_OF[name].search(html, at)
             at = stop.end() if stop else len(html)
             continue
         if name in _VOID or m["attrs"].endswith("/"):
@@ -144,19 +172,21 @@ def parse(html: str | None) -> Page:
         if name in _ARTICLE:
             if not article:
                 # chrome that was never closed ends where an article begins, unless it is comments
-                page.has_article |= not chrome or not any(c for n, c, _ in stack if n not in ("nav", "footer", "form", "header", "menu"))
+                page.has_article |= not chrome or not any(c == _CHROME_KIND for n, c, _ in stack if n not in ("nav", "footer", "form", "header", "menu"))
                 if chrome and page.has_article:
-                    pop(next(d for d, e in enumerate(stack) if e[1]))
-            stack.append((name, False, not chrome))
-            article += not chrome
-        elif _is_chrome(name, m["attrs"], article > 0):
+                    pop(next(d for d, e in enumerate(stack) if e[1] == _CHROME_KIND))
+            push(name, _TEXT, not chrome)
+            continue
+        kind = _kind(name, m["attrs"], article > 0)
+        if kind:
             if name not in ("p", "span", "a", "b", "i", "em", "strong"):
                 end_block()
-            stack.append((name, True, False))
-            chrome += 1
-        elif chrome and name in {n for n, c, _ in stack if c}:
-            stack.append((name, False, False))  # nested element of the same name
+            push(name, kind, False)
+        elif (chrome or doubt) and names[name]:
+            push(name, _TEXT, False)  # nested element of the same name
     end_block()
+    if not page.has_article:
+        page.blocks = outside
     return page
 
 
@@ -165,55 +195,55 @@ def _host_salt(url: str | None) -> int:
     return xxhash.xxh3_64_intdigest(host) - (1 << 63)
 
 
-_PARSED = "page_id {kind}, url string, text string, sid binary, salt long, data binary, blocks array<struct<at:int,text:string>>"
+_PARSED = "page_id {kind}, url string, sid binary, salt long, data binary, blocks array<struct<at:int,text:string>>"
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``page_id, url, text, n_chars, n_boilerplate`` of every page; the last counts the words that
-    repetition removed."""
+    """``page_id, url, text, n_chars, n_boilerplate`` of every page; the last counts the words outside the
+    article and in doubt that other pages of the host share."""
     kind = pages.schema[page_id].dataType.simpleString()
     blocks_type = pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sids, salts, datas, blocks = [], [], [], [], []
+            sids, salts, datas, blocks = [], [], [], []
             for i in range(batch.num_rows):
                 link, markup = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
                 page = parse(markup)
-                texts.append("\n".join(page.main) if page.has_article else None)
                 sids.append(xxhash.xxh3_128_digest(f"{link}\n{markup}".encode()))
                 salts.append(_host_salt(link))
-                datas.append(np.array([xxhash.xxh32_intdigest(w) for w in page.outside], np.uint32).tobytes())
-                blocks.append([] if page.has_article else [{"at": a, "text": t} for a, t in zip(page.places, page.open)])
-            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(sids, pa.binary()), pa.array(salts, pa.int64()), pa.array(datas, pa.binary()), pa.array(blocks, blocks_type)]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "sid", "salt", "data", "blocks"])
+                datas.append(np.array([xxhash.xxh32_intdigest(w) for w in page.stream], np.uint32).tobytes())
+                # what isn't in doubt needs no places
+                sure = all(a < 0 for a, _ in page.blocks)
+                blocks.append([{"at": -1, "text": "\n".join(t for _, t in page.blocks)}] if sure else [{"at": a, "text": t} for a, t in page.blocks])
+            columns = [batch.column(0), batch.column(1), pa.array(sids, pa.binary()), pa.array(salts, pa.int64()), pa.array(datas, pa.binary()), pa.array(blocks, blocks_type)]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "sid", "salt", "data", "blocks"])
 
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
-    parsed = materialise(rows.mapInArrow(run, _PARSED.format(kind=kind)), "html-parsed")
+    parsed = materialise(rows.mapInArrow(run, _PARSED.format(kind=kind)), "html-parsed", compression="zstd")
     spans = find(parsed.select("sid", "salt", "data"), Shape(STRETCH, STRETCH // 2, 4), across=True)
-
-    whole = parsed.where("text IS NOT NULL").select("page_id", "url", "text", F.lit(0).cast("long").alias("n_boilerplate"))
-    loose = parsed.where("text IS NULL").select("page_id", "url", "sid", "blocks")
-    wanted = MemberFilter(loose.select("sid").distinct(), "sid").keep(spans, "sid")
-    covered = wanted.groupBy("sid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    covered = spans.groupBy("sid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone = [], []
             for row in batch.select(["blocks", "spans"]).to_pylist():
-                flags = np.zeros(1 + max([b["at"] + b["text"].count(" ") + 1 for b in row["blocks"]], default=0), bool)
-                for a, z in merged(row["spans"] or []):
+                ranges = merged(row["spans"] or [])
+                flags = np.zeros(ranges[-1][1] if ranges else 0, bool)
+                for a, z in ranges:
                     flags[a:z] = True
-                out, n = [], 0
+                out = []
                 for b in row["blocks"]:
-                    words = b["text"].split(" ")
-                    kept = [w for w, f in zip(words, flags[b["at"] : b["at"] + len(words)]) if not f]
-                    n += len(words) - len(kept)
+                    at, kept = b["at"], b["text"]
+                    if at >= 0 and flags[at:].any():
+                        words = kept.split(" ")
+                        own = flags[at : at + len(words)].tolist()
+                        kept = " ".join(w for w, f in zip(words, own + [False] * (len(words) - len(own))) if not f)
                     if kept:
-                        out.append(" ".join(kept))
+                        out.append(kept)
                 texts.append("\n".join(out))
-                gone.append(n)
+                gone.append(int(flags.sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["page_id", "url", "text", "n_boilerplate"])
 
-    cleaned = loose.join(covered, "sid", "left").select("page_id", "url", "blocks", "spans").mapInArrow(unique, f"page_id {kind}, url string, text string, n_boilerplate long")
-    return whole.unionByName(cleaned).withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "n_boilerplate")
+    cleaned = parsed.join(covered, "sid", "left").select("page_id", "url", "blocks", "spans").mapInArrow(unique, f"page_id {kind}, url string, text string, n_boilerplate long")
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "n_boilerplate")
