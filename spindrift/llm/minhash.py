@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.graph import components
-from spindrift.llm.shared import MemberFilter, attach
+from spindrift.llm.shared import MemberFilter, attach, own_name
 from spindrift.session import materialise
 
 BANDS, ROWS, MANTISSA = 40, 5, 10
@@ -329,6 +329,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "
     """
     gone = near_groups(docs, width, percent, doc_id, text).where("NOT kept").select("doc_id").distinct()
     gone = materialise(gone, "near-gone")
-    marked = MemberFilter(gone, "doc_id").mark(docs, doc_id, "_gone")
-    maybe = marked.where("_gone").join(gone.select(F.col("doc_id").alias(doc_id)), doc_id, "left_anti")
-    return marked.where("NOT _gone").unionByName(maybe).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # identifiers of any integer type are probed and joined as long ones
+    mark, key = own_name("gone"), own_name("id")
+    marked = MemberFilter(gone, "doc_id").mark(docs.withColumn(key, F.col(f"`{doc_id}`").cast("long")), key, mark)
+    maybe = marked.where(mark).join(gone.select(F.col("doc_id").alias(key)), key, "left_anti")
+    return marked.where(f"NOT {mark}").unionByName(maybe).select(*[F.col(f"`{c}`") for c in docs.columns])

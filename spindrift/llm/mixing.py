@@ -4,8 +4,8 @@ Rows of a source form blocks of equal size. With weight share w, block k of a so
 slot floor(k / w) and due by slot ceil((k + 1) / w). Earliest deadline first among released blocks
 fills every slot, and at any slot each source has had less than one block more or less than its
 share. Shares are whole numbers of slots in a period, so one period is scheduled on the driver
-(SLOTS_EACH slots for each source, or the given length if that is more) and any block's slot follows
-from it by arithmetic. The driver holds one period, so more than MOST_SOURCES sources are refused.
+(SLOTS_EACH slots for each source, or the given length if that is more, and more again where a weight
+is small) and any block's slot follows from it by arithmetic. The driver holds one period, so more than MOST_SOURCES sources are refused.
 
 Defined results: sources without a target weight, and null sources, are never scheduled; null
 identifiers and repeated rows are rows like any other; an empty table gives an empty result; all
@@ -23,12 +23,16 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.llm.shared import own_name
+
 #: Slots of a period: shares are rounded to multiples of 1/PERIOD.
 PERIOD = 10_000
 #: A period has at least so many slots for each source, so that rounding up to one slot stays rare.
 SLOTS_EACH = 10
 #: Sources whose period the driver can hold.
 MOST_SOURCES = 100_000
+#: Slots up to which the period grows for the sake of small weights.
+MOST_SLOTS = 250_000
 
 
 def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -53,6 +57,14 @@ def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]
     return slots
 
 
+def enough_slots(weights: Mapping[str, float], period: int = PERIOD) -> int:
+    """A period of so many slots or more, in which each source has some, and the smallest weight at
+    least half a slot before rounding (but for weights below 1 / (2 * MOST_SLOTS))."""
+    positive = [w for w in weights.values() if w > 0]
+    smallest = math.ceil(sum(positive) / min(positive)) if positive else 0
+    return max(period, SLOTS_EACH * len(positive), min(smallest, MOST_SLOTS))
+
+
 def schedule(slots: Mapping[str, int]) -> list[str]:
     """The source of each slot of one period: earliest deadline first among released blocks."""
     period = sum(slots.values())
@@ -88,19 +100,23 @@ def counted(docs: DataFrame, source: str) -> list[tuple[str, int]]:
 def numbered(docs: DataFrame, source: str, doc_id: str) -> DataFrame:
     """Adds ``mix_rank``: the row's number within its source, from 0.
 
-    Rows are dealt into chunks by a hash of the identifier; chunks are counted and numbered, then
-    rows are numbered within their chunk. Chunks and the rows of one grow with the square root of
-    the table alike, so no source is ever in one task.
+    Rows are dealt into chunks by a hash of the whole row; chunks are counted and numbered, then
+    rows are numbered within their chunk, by identifier and that hash. Chunks and the rows of one grow
+    with the square root of the table alike, so no source or identifier is ever in one task. Only rows
+    that are equal in all columns are alike to the order, and may change places.
     """
+    chunk, inside, start, name, whole = (own_name(w) for w in ("chunk", "inside", "start", "source", "whole"))
     chunks = max(1, math.isqrt(docs.count()) // 4)
-    dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(chunks)))
-    counts = dealt.groupBy(F.col(f"`{source}`").alias("_source"), "_chunk").count()
-    before = Window.partitionBy("_source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_source", "_chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(F.col(f"`{source}`"), "_chunk").orderBy(F.col(f"`{doc_id}`"))
-    ranked = dealt.withColumn("_inside", F.row_number().over(inside) - 1)
-    same = ranked[f"`{source}`"].eqNullSafe(starts["_source"]) & (ranked["_chunk"] == starts["_chunk"])
-    return ranked.join(starts, same).withColumn("mix_rank", (F.col("_start") + F.col("_inside")).cast("long")).drop(starts["_chunk"], "_start", "_source", "_inside").drop("_chunk")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    dealt = docs.withColumn(whole, F.xxhash64(*hashed)).withColumn(chunk, F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(whole)), F.lit(chunks)))
+    counts = dealt.groupBy(F.col(f"`{source}`").alias(name), chunk).count()
+    before = Window.partitionBy(name).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(name, chunk, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(start))
+    order = Window.partitionBy(F.col(f"`{source}`"), chunk).orderBy(F.col(f"`{doc_id}`"), whole)
+    ranked = dealt.withColumn(inside, F.row_number().over(order) - 1)
+    same = ranked[f"`{source}`"].eqNullSafe(starts[name]) & (ranked[chunk] == starts[chunk])
+    joined = ranked.join(starts, same).withColumn("mix_rank", (F.col(start) + F.col(inside)).cast("long"))
+    return joined.drop(starts[chunk]).drop(start, name, inside, whole, chunk)
 
 
 def horizon(counts: Mapping[str, int], slots: Mapping[str, int], block_rows: int) -> int:
@@ -118,10 +134,10 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_rows: int = 8, peri
     ``mix_rank`` numbers the rows of a source, ``mix_block`` its blocks; ``mix_slot`` is the slot of
     the block, ``mix_release`` and ``mix_deadline`` are its window; ``mix_in`` says whether the slot
     comes before the first one whose source has run dry, up to which the target weights hold.
-    The period is longer than asked for where ``weights`` has many sources.
+    The period is longer than asked for where ``weights`` has many sources or small ones.
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
-    period = max(period, SLOTS_EACH * sum(w > 0 for w in weights.values()))
+    period = enough_slots(weights, period)
     spark, slots = docs.sparkSession, shares(weights, period)
     period = sum(slots.values())
     seen: dict[str, int] = {}
@@ -130,22 +146,24 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_rows: int = 8, peri
         rows.append((s, seen.get(s, 0), at, slots[s]))
         seen[s] = seen.get(s, 0) + 1
     # as many rows as slots: the period bounds it
-    plan = spark.createDataFrame(rows, f"_s string, _k long, _at long, _slots long")
-    counts = dict(counted(docs.join(F.broadcast(plan.select(F.col("_s").alias(source)).distinct()), source), source))
+    name, turn, at, width = (own_name(w) for w in ("source", "turn", "at", "width"))
+    plan = spark.createDataFrame(rows, f"{name} string, {turn} long, {at} long, {width} long")
+    key = F.col(f"`{source}`")
+    counts = dict(counted(docs.join(F.broadcast(plan.select(name).distinct()), key == F.col(name), "left_semi"), source))
     end = horizon(counts, slots, block_rows)
     ranked = numbered(docs, source, doc_id).withColumn("mix_block", F.floor(F.col("mix_rank") / block_rows).cast("long"))
-    width = F.broadcast(plan.groupBy("_s").agg(F.first("_slots").alias("_slots")))
-    known = ranked.join(width, ranked[f"`{source}`"] == width["_s"], "left").drop("_s").withColumn("_k", F.col("mix_block") % F.col("_slots"))
-    placed = known.join(F.broadcast(plan.select("_s", "_k", "_at")), (known[f"`{source}`"] == F.col("_s")) & (known["_k"] == plan["_k"]), "left").drop("_s", "_k")
-    turn = (F.col("mix_block") / F.col("_slots")).cast("long") * period
-    placed = (
-        placed.withColumn("mix_slot", turn + F.col("_at"))
-        .withColumn("mix_release", F.floor(F.col("mix_block") * period / F.col("_slots")).cast("long"))
-        .withColumn("mix_deadline", F.ceil((F.col("mix_block") + 1) * period / F.col("_slots")).cast("long"))
+    widths = plan.groupBy(name).agg(F.first(width).alias(width))
+    known = ranked.join(F.broadcast(widths), key == F.col(name), "left").drop(name)
+    mine = own_name("turn")
+    known = known.withColumn(mine, F.col("mix_block") % F.col(width))
+    placed = known.join(F.broadcast(plan.select(name, turn, at)), (key == F.col(name)) & (F.col(mine) == F.col(turn)), "left").drop(name, turn, mine)
+    return (
+        placed.withColumn("mix_slot", (F.col("mix_block") / F.col(width)).cast("long") * period + F.col(at))
+        .withColumn("mix_release", F.floor(F.col("mix_block") * period / F.col(width)).cast("long"))
+        .withColumn("mix_deadline", F.ceil((F.col("mix_block") + 1) * period / F.col(width)).cast("long"))
         .withColumn("mix_in", F.coalesce(F.col("mix_slot") < end, F.lit(False)))
-        .drop("_at", "_slots")
+        .drop(at, width)
     )
-    return placed
 
 
 def mix_tempered(docs: DataFrame, power: float = 0.7, block_rows: int = 8, source: str = "source", doc_id: str = "doc_id") -> DataFrame:

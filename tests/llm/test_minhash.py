@@ -67,6 +67,20 @@ def test_odd_rows(odd, empty):
     assert M.near_groups(empty).collect() == [] and M.keep_one(empty).columns == empty.columns
 
 
+@pytest.mark.parametrize("kind", ["int", "long", "smallint"])
+def test_identifiers_of_any_integer_type(spark, kind):
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(50):
+        words = list(base)
+        words[r.randrange(200)] = f"e{i}"
+        rows.append((i, " ".join(words), "a", i, "b", True))
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string, _w string, _b int, _word string, hit boolean")
+    kept = M.keep_one(df)
+    assert kept.schema == df.schema and [x.doc_id for x in kept.collect()] == [0]
+
+
 def test_estimate():
     r = np.random.default_rng(1)
     for share in (0.3, 0.6, 0.8, 0.95):

@@ -77,3 +77,24 @@ def test_more_sources_than_slots(spark):
     # 12 001 sources with ten slots each; shares are counts to the power 0.7
     assert abs(width["hot"] * 200**0.7 / (12_000 + 200**0.7) - 1) < 0.02
     assert all(abs(width[s] / (12_000 + 200**0.7) - 1) < 0.15 for s in width if s != "hot")
+
+
+def test_small_weights_keep_their_share():
+    weights = {"big": 1.0, "tiny": 2e-5}
+    slots = X.shares(weights, X.enough_slots(weights))
+    assert abs(slots["tiny"] / sum(slots.values()) / 2e-5 - 1) < 0.01
+    assert X.enough_slots({"a": 1}) == X.PERIOD and X.enough_slots({}) == X.PERIOD
+    assert X.enough_slots({"a": 1, "b": 1e-12}) == X.MOST_SLOTS
+
+
+def test_clashing_columns_and_ties(spark):
+    """Columns by any name; rows of one identifier are ordered by their other columns."""
+    rows = [(1 if i % 2 else None, f"t{i}", "a" if i % 3 else "b", i, "x", i) for i in range(300)]
+    names = "doc_id int, text string, source string, _slots long, _k string, _at int"
+    results = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, names).repartition(parts).withColumnsRenamed({})
+        out = X.mix(df, {"a": 2, "b": 1}, 4).collect()
+        assert {r._slots for r in out} == set(range(300)) and {r._k for r in out} == {"x"}
+        results.append({r.text: (r.mix_rank, r.mix_slot) for r in out})
+    assert results[0] == results[1] and len(results[0]) == 300
