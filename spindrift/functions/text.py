@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]+|[$%().,]"
 LONE_TOKENS = ("$", "%")
 FORMULA = "[$%=]"
+#: Unicode white space.
+SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 @lru_cache
@@ -29,18 +31,19 @@ def digit_class() -> str:
 
 def sanitize(text: Column) -> Column:
     """Null becomes empty; marks of bad decoding become spaces; control and format characters go;
-    runs of blanks and of newlines shrink to one; Unicode white space at the ends goes."""
+    runs of blanks and of newlines shrink to one; Unicode white space at the ends goes.
+
+    Each pattern matches only what it changes, and a text's ends are trimmed without one.
+    """
     out = F.coalesce(text, F.lit(""))
     for pattern, to in (
         (r"[\x{FFFD}\x00]", " "),
-        (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""),
-        (r"\p{Cf}", ""),
-        (r"[ \t]+", " "),
+        (r"[\x01-\x08\x0B\x0C\x0E-\x1F\p{Cf}]", ""),
+        (r"[ \t]{2,}|\t", " "),
         (r"\n{2,}", "\n"),
-        (r"(?U)\A\s+|\s+\z", ""),
     ):
         out = F.regexp_replace(out, F.lit(pattern), F.lit(to))
-    return out
+    return F.btrim(out, F.lit(SPACE))
 
 
 def junk_count(text: Column) -> Column:
@@ -53,7 +56,7 @@ def is_garbled(text: Column, threshold: float = 0.40) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"(?U)\S+"))
+    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
 
 
 def has_numbers(text: Column) -> Column:

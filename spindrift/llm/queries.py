@@ -24,7 +24,8 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without repeated 400-byte strings."""
+    """What is left of every document without repeated 400-byte strings, and its words in passages of 50
+    words and more that other documents have too."""
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400)
     return found.select(
         "doc_id",
@@ -32,6 +33,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        "passage_words",
     )
 
 

@@ -9,8 +9,11 @@ anchor's hash. The streams are read three times, and never move whole:
    occurs twice is repeated as a whole. Where an anchor has several regions, these are compared.
 3. These regions are sorted by anchor into shards. Per shard, a suffix array is built by
    Larsson-Sadakane refinement and common prefixes by Kasai's walk, all in numpy; starts whose
-   neighbour agrees over ``length`` tokens are repeated. Anchors with very many regions are first
-   told apart by longer content, so that no shard grows with a passage's popularity.
+   neighbour agrees over ``length`` tokens are repeated. Before that, regions are left out that share
+   no part's content with another one. Anchors with very many regions are first told apart by that
+   content; should very many regions share it still, as at a popular passage's ends, their
+   stretches, of which each has few, are told apart one by one. So a shard has SHARD_TOKENS and the
+   MANY_REGIONS of one key at most, whatever a passage's popularity.
 
 Shards are cut by anchor, so what must be compared is in one shard, and no shard has to be searched
 in another: searching each in each takes time quadratic in their number.
@@ -18,6 +21,7 @@ in another: searching each in each takes time quadratic in their number.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +45,7 @@ PARTS = 8
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
 def _powers(base: int) -> np.ndarray:
@@ -55,7 +59,7 @@ _POWERS: list[np.ndarray] = []
 
 def _tables() -> list[np.ndarray]:
     if not _POWERS:
-        _POWERS.extend([_powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))])
+        _POWERS.extend(_powers(p) for base in _BASES for p in (base, pow(base, -1, 1 << 64)))
     return _POWERS
 
 
@@ -70,21 +74,39 @@ class Shape:
     def tokens(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, np.uint8 if self.width == 1 else np.uint32)
 
+    @property
+    def step(self) -> int:
+        return -(-(self.length - self.gram + 1) // PARTS)
 
-def anchors(x: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place, first start, last start and hash of each anchor of up to CHUNK tokens."""
+    def parts(self, off: int, last: int) -> Iterator[tuple[int, int, int]]:
+        """Starts 0 to ``last`` of a region whose anchor is at ``off``, in parts: number, and the
+        first and last start that the part has in any region."""
+        for t in range((off - last) // self.step, off // self.step + 1):
+            yield t, off - t * self.step - self.step + 1, off - t * self.step
+
+
+def _sums(x: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Sums of x's tokens, weighted by powers, before each place."""
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + _U(1)) * up[: len(x)], out=sums[1:])
+    return sums
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    return h ^ (h >> _U(29))
+
+
+def anchors(x: np.ndarray, shape: Shape, marked: bool = False) -> tuple[np.ndarray, ...]:
+    """Place, first start, last start and hash of each anchor of up to CHUNK tokens; if asked for,
+    also a hash of the anchor's region and its place there, from sums of two kinds."""
     n, length, gram = len(x), shape.length, shape.gram
     if n < length:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    up, down = _tables()
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((x.astype(np.uint64) + _U(1)) * up[:n], out=sums[1:])
-    h = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
-    h ^= h >> _U(32)
-    h *= _U(0xD6E8FEB86659FD93)
-    h ^= h >> _U(32)
-    h *= _U(0xD6E8FEB86659FD93)
-    h ^= h >> _U(29)
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * (1 + marked)
+    up, down, up2, down2 = _tables()
+    sums = _sums(x, up)
+    h = _mixed((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
     g, window, starts = len(h), length - gram + 1, n - length + 1
     value = (h & ~_U((1 << 20) - 1)) | np.arange(g, dtype=np.uint64)
     # smallest of each window: from prefixes and suffixes of blocks of the window's size
@@ -98,7 +120,13 @@ def anchors(x: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.nda
     cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
     first = np.concatenate(([0], cuts))
     last = np.concatenate((cuts - 1, [starts - 1]))
-    return at[first], first, last, h[at[first]]
+    place = at[first]
+    if not marked:
+        return place, first, last, h[place]
+    others, end = _sums(x, up2), last + length
+    mark = _mixed((sums[end] - sums[first]) * down[first] + (place - first).astype(np.uint64))
+    mark = _mixed(mark + (others[end] - others[first]) * down2[first] + (last - first).astype(np.uint64))
+    return place, first, last, h[place], mark
 
 
 def _chunks(x: np.ndarray, shape: Shape) -> Iterator[tuple[int, np.ndarray]]:
@@ -181,6 +209,8 @@ def repeated_starts(regions: list[np.ndarray], owners: list[int], length: int) -
     top = max(int(r.max(initial=0)) for r in regions) + 1
     # every region ends in a token of its own, so that nothing matches across ends
     x = np.concatenate([np.append(r.astype(np.int64), top + i) for i, r in enumerate(regions)])
+    if top >= 1 << 15:  # numbers without gaps are smaller
+        x = np.unique(x, return_inverse=True)[1]
     begins = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
     order = suffix_array(x)
     shared = common_prefixes(x, order, begins, begins + sizes - length + 1, length)
@@ -237,15 +267,15 @@ def find(streams: DataFrame, shape: Shape, across: bool = False) -> DataFrame:
     elsewhere = F.min("sid") < F.max("sid")
     twice = (elsewhere if across else elsewhere | (F.min("a") < F.max("a"))).alias("twice")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, np.ndarray, int, tuple]]:
+    def keyed(batches: Iterator[pa.RecordBatch], marked: bool = False) -> Iterator[tuple[bytes, np.ndarray, int, tuple]]:
         for batch in batches:
             sids, salts, datas = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for i in range(batch.num_rows):
                 x = shape.tokens(datas[i].as_py())
                 for start, part in _chunks(x, shape):
-                    place, first, last, h = anchors(part, shape)
+                    place, first, last, h, *mark = anchors(part, shape, marked)
                     if len(place):
-                        yield sids[i].as_py(), part, start, (place, first, last, h ^ _U(salts[i] & (1 << 64) - 1))
+                        yield sids[i].as_py(), part, start, (place, first, last, h ^ _U(salts[i] & (1 << 64) - 1), *mark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -266,20 +296,24 @@ def find(streams: DataFrame, shape: Shape, across: bool = False) -> DataFrame:
     repeated = spark.sparkContext.broadcast(Bits(materialise(counted.select("key"), "repeats-keys")))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(5)]
-        for sid, part, start, (place, first, last, h) in keyed(batches):
-            for i in np.flatnonzero(repeated.value.has(h)).tolist():
-                region = part[first[i] : last[i] + shape.length].tobytes()
-                mark = xxhash.xxh3_64_intdigest(region, seed=int(place[i] - first[i]))
-                for column, v in zip(out, (_signed(int(h[i])), _signed(mark), sid, start + int(first[i]), start + int(last[i]))):
-                    column.append(v)
-            if len(out[0]) > 100_000:
-                yield packed(out)
-                out = [[] for _ in range(5)]
-        yield packed(out)
-
-    def packed(out: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["key", "mark", "sid", "a", "b"])
+        out: list[tuple[np.ndarray, ...]] = []
+        names: list[bytes] = []
+        size = 0
+        for sid, _, start, (_, first, last, h, mark) in keyed(batches, True):
+            hit = np.flatnonzero(repeated.value.has(h))
+            out.append((h[hit].view(np.int64), mark[hit].view(np.int64), np.full(len(hit), len(names)), start + first[hit], start + last[hit]))
+            names.append(sid)
+            size += len(hit)
+            if size > 100_000:
+                yield packed(out, names)
+                out, names, size = [], [], 0
+        if out:
+            yield packed(out, names)
+
+    def packed(out: list[tuple[np.ndarray, ...]], names: list[bytes]) -> pa.RecordBatch:
+        key, mark, name, a, b = (np.concatenate(c) for c in zip(*out))
+        sids = pa.array(names, pa.binary()).take(pa.array(name))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(mark), sids, pa.array(a), pa.array(b)], ["key", "mark", "sid", "a", "b"])
 
     schema = "key long, mark long, sid binary, a long, b long"
     seen = materialise(streams.mapInArrow(occurrences, schema), "repeats-seen")
@@ -289,47 +323,59 @@ def find(streams: DataFrame, shape: Shape, across: bool = False) -> DataFrame:
 
     opened = spark.sparkContext.broadcast(Bits(several))
     crowded = spark.sparkContext.broadcast(Bits(several.where(F.col("n") > MANY_REGIONS)))
-    step = -(-(shape.length - shape.gram + 1) // PARTS)
+    step = shape.step
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "mark", "sid", "a", "b", "region"]
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        names = ["key", "mark", "sid", "a", "b", "off", "region"]
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         out: list[list] = [[] for _ in names]
+        seen: dict[tuple[int, int], tuple[bytes, int] | None] = {}
 
-        def add(key: int, sid: bytes, start: int, part: np.ndarray, place: int, a: int, b: int) -> None:
-            region = part[a : b + shape.length].tobytes()
-            mark = xxhash.xxh3_64_intdigest(region, seed=place - a)
-            for column, v in zip(out, (_signed(key), _signed(mark), sid, start + a, start + b, region)):
+        def add(key: int, mark: int, sid: bytes, a: int, b: int, off: int, region: bytes | None) -> None:
+            for column, v in zip(out, (_signed(key), _signed(mark), sid, a, b, off, region)):
                 column.append(v)
 
         size = 0
-        for sid, part, start, (place, first, last, h) in keyed(batches):
-            for i in np.flatnonzero(opened.value.has(h)).tolist():
-                key, q, a, b = int(h[i]), int(place[i]), int(first[i]), int(last[i])
-                if key not in crowded.value:
-                    add(key, sid, start, part, q, a, b)
+        for sid, part, start, (place, first, last, h, marks) in keyed(batches, True):
+            hit = np.flatnonzero(opened.value.has(h))
+            full = crowded.value.has(h[hit]).tolist()
+            for i, q, a, b, key, mark, many in zip(hit.tolist(), *(c[hit].tolist() for c in (place, first, last, h, marks)), full):
+                if not many:
+                    # once a region was seen at two places, which make it repeated as a whole, that will do
+                    known, here = seen.get((key, mark), ()), (sid, start + a)
+                    if known is None or known == here:
+                        continue
+                    again = bool(known) and (known[0] != sid or not across)
+                    seen[key, mark] = None if again else here
+                    add(key, mark, *here, start + b, q - a, None if again else part[a : b + shape.length].tobytes())
                     size += b - a + shape.length
                     continue
-                for t in range((q - b) // step, (q - a) // step + 1):
+                for t, low, high in shape.parts(q - a, b - a):
                     # all stretches of this part hold the tokens between its last start and its first end
-                    content = part[q - t * step : q - t * step - step + 1 + shape.length].tobytes()
-                    add(xxhash.xxh3_64_intdigest(content, seed=key ^ t), sid, start, part, q, max(a, q - t * step - step + 1), min(b, q - t * step))
+                    content = part[a + high : a + low + shape.length].tobytes()
+                    low, high = a + max(0, low), a + min(b - a, high)
+                    region = part[low : high + shape.length].tobytes()
+                    mark = xxhash.xxh3_64_intdigest(region, seed=q - low)
+                    add(xxhash.xxh3_64_intdigest(content, seed=key ^ (t & 0xFFFF)), mark, sid, start + low, start + high, q - low, region)
                     size += step + shape.length
             if size * shape.width > 8 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
                 out, size = [[] for _ in names], 0
+                if len(seen) > 500_000:
+                    seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
-    held = materialise(streams.mapInArrow(texts, schema + ", region binary"), "repeats-texts")
-    distinct = held.groupBy("key", "mark").agg(F.any_value("region").alias("region"), F.min("sid").alias("sid"), twice)
+    held = materialise(streams.mapInArrow(texts, schema + ", off int, region binary"), "repeats-texts")
+    distinct = held.groupBy("key", "mark").agg(F.any_value("region", True).alias("region"), F.min("sid").alias("sid"), twice, F.min("off").alias("off"))
+    distinct = materialise(distinct.select("key", "mark", "region", "twice", "sid", "off"), "repeats-distinct")
+    full = materialise(distinct.groupBy("key").count().where(F.col("count") > MANY_REGIONS).select("key"), "repeats-full")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[int, int, bytes, bool, bytes]] = []
+        group: list[tuple[int, int, bytes, bool, bytes, int]] = []
         size = 0
         for batch in batches:
-            columns = [batch.column(i) for i in range(5)]
             for i in range(batch.num_rows):
-                row = tuple(c[i].as_py() for c in columns)
+                row = tuple(c[i].as_py() for c in batch.columns)
                 if size > SHARD_TOKENS and row[0] != group[-1][0]:
                     yield shard(group)
                     group, size = [], 0
@@ -338,22 +384,44 @@ def find(streams: DataFrame, shape: Shape, across: bool = False) -> DataFrame:
         if group:
             yield shard(group)
 
-    def shard(group: list[tuple[int, int, bytes, bool, bytes]]) -> pa.RecordBatch:
-        keys = np.array([g[0] for g in group])
-        alone = np.concatenate(([True], keys[1:] != keys[:-1])) & np.append(keys[1:] != keys[:-1], True)
-        rows: list[tuple] = []
-        left = [g for g, one in zip(group, alone) if not one or g[3]]
+    def shard(group: list[tuple[int, int, bytes, bool, bytes, int]]) -> pa.RecordBatch:
+        # a region can only match where it shares a part's content with another one; what is repeated
+        # as a whole is only looked at for the sake of others
+        contents = [[xxhash.xxh3_64_intdigest(g[2][high * shape.width : (low + shape.length) * shape.width], seed=g[0] & 0xFFFFFFFF) for _, low, high in shape.parts(g[5], len(g[2]) // shape.width - shape.length)] for g in group]
+        times = Counter(c for own in contents for c in own)
+        asked = {c for g, own in zip(group, contents) if not g[3] for c in own if times[c] > 1}
+        left = [g for g, own in zip(group, contents) if not asked.isdisjoint(own)]
+        rows = [(g[0], g[1], 0, len(g[2]) // shape.width - shape.length) for g in group if g[3]]
         if left:
             # across streams, regions of one stream count once; else each counts
             names: dict[bytes, int] = {}
             owners = [names.setdefault(g[4], len(names)) if across else i for i, g in enumerate(left)]
-            for (key, mark, _, twice, _), flags in zip(left, repeated_starts([shape.tokens(g[2]) for g in left], owners, shape.length)):
-                for lo, hi in [(0, len(flags) - 1)] if twice else _spans(flags):
-                    rows.append((key, mark, lo, hi))
+            if across:  # what is repeated as a whole has another owner than anything
+                owners = [-1 - i if g[3] else o for i, (g, o) in enumerate(zip(left, owners))]
+            for (key, mark, _, twice, _, _), flags in zip(left, repeated_starts([shape.tokens(g[2]) for g in left], owners, shape.length)):
+                if not twice:
+                    rows.extend((key, mark, lo, hi) for lo, hi in _spans(flags))
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([],) * 4)], ["key", "mark", "lo", "hi"])
 
-    dealt = distinct.select("key", "mark", "region", "twice", "sid").repartition("key").sortWithinPartitions("key")
+    dealt = distinct.join(full, "key", "left_anti").repartition("key").sortWithinPartitions("key")
     found = materialise(dealt.mapInArrow(compare, "key long, mark long, lo long, hi long"), "repeats-found")
-    parts = held.select("key", "mark", "sid", "a").join(found, ["key", "mark"])
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # every stretch by itself: there may be any number of regions, but each has few starts
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, mark, region, twice, sid, _ = (c[i].as_py() for c in batch.columns)
+                w, n = shape.width, len(region) // shape.width - shape.length + 1
+                names = [xxhash.xxh3_128_digest(region[lo * w : (lo + shape.length) * w]) for lo in range(n)]
+                columns = [[key] * n, [mark] * n, range(n), names, [twice] * n, [sid] * n]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key", "mark", "lo", "name", "twice", "sid"])
+
+    single = distinct.join(full, "key", "left_semi").mapInArrow(stretches, "key long, mark long, lo long, name binary, twice boolean, sid binary")
+    single = materialise(single, "repeats-stretches")
+    again = F.max("twice") | (F.min("sid") < F.max("sid") if across else F.count(F.lit(1)) > 1)
+    again = single.groupBy("key", "name").agg(again.alias("again")).where("again").select("key", "name")
+    apart = single.join(again, ["key", "name"], "left_semi").select("key", "mark", "lo", F.col("lo").alias("hi"))
+    parts = held.select("key", "mark", "sid", "a").join(found.unionByName(apart), ["key", "mark"])
     within = parts.select("sid", (F.col("a") + F.col("lo")).alias("first"), (F.col("a") + F.col("hi") + (shape.length - 1)).alias("last"))
-    return whole.select("sid", F.col("a").alias("first"), (F.col("b") + (shape.length - 1)).alias("last")).unionByName(within)
+    return whole.select("sid", F.col("a").alias("first"), (F.col("b") + (shape.length - 1)).alias("last")).unionByName(within).distinct()

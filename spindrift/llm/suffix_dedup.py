@@ -4,6 +4,10 @@ A string of ``length`` bytes is repeated if it starts anywhere else too, in the
 another; all its occurrences go. :mod:`spindrift.llm.repeats` finds the strings. Equal texts are
 one stream there: if there are several and they are long enough, they are covered from end to end.
 
+A passage of many words may be shorter than that. It stays, but a second search, over streams of word
+hashes, counts the words of each text that lie in passages of ``passage`` words or more which a
+different text has too.
+
 Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing; bytes are
 those of UTF-8, and what is left may start within a character; null identifiers are labels like any
 other; repeated rows are copies of each other; an empty table gives an empty result; other columns
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +27,39 @@ from spindrift.llm.repeats import Shape, find
 from spindrift.llm.shared import MemberFilter, attach
 from spindrift.session import materialise
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[*b" \t\n\v\f\r"]] = True
+#: Weights of a word's bytes by place, used over again in words that are longer.
+_WEIGHTS = np.random.default_rng(7).integers(0, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 32-bit hash of each word; words end at ASCII white space."""
+    x = np.frombuffer(data.lstrip(b" \t\n\v\f\r"), np.uint8)
+    if not len(x):
+        return np.empty(0, np.uint32)
+    inside = ~_BLANK[x]
+    starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])))
+    place = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+    values = (x.astype(np.uint64) + np.uint64(1)) * _WEIGHTS[place & 1023] * inside
+    h = np.add.reduceat(values, starts)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def word_streams(rows: DataFrame, least: int) -> DataFrame:
+    """``sid, salt, data``: texts with at least so many words as streams of word hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_hashes(x.as_py()) for x in batch.column(1)]
+            long = [i for i, x in enumerate(found) if len(x) >= least]
+            columns = [batch.column(0).take(pa.array(long, pa.int64())), pa.array([0] * len(long), pa.int64()), pa.array([found[i].tobytes() for i in long], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["sid", "salt", "data"])
+
+    # a word and the blank before it take two bytes at least
+    return rows.where(F.length("data") >= 2 * least - 1).select("sid", "data").mapInArrow(run, "sid binary, salt long, data binary")
+
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
     """Sorted maximal ranges [start, end) of inclusive ranges {first, last}."""
@@ -34,27 +72,37 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, removed, kept``: removed ranges [start, end) and the bytes that are left."""
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_bytes, removed, kept, passage_words``: removed ranges [start, end), the bytes that
+    are left, and the text's words in passages that another text has too (0 if ``passage`` is 0)."""
     data = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), data.alias("data"))
     rows = rows.withColumn("sid", F.substring(F.unhex(F.sha2("data", 256)), 1, 16))
     streams = rows.where(F.length("data") >= length).select("sid", F.lit(0).cast("long").alias("salt"), "data")
     spans = find(streams, Shape(length, length // 2, 1))
 
-    copies = streams.groupBy("sid").agg(F.count(F.lit(1)).alias("copies"))
-    listed = spans.groupBy("sid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    marks = copies.join(listed, "sid", "left").where("copies > 1 OR spans IS NOT NULL")
     # a text with copies goes whole, so its ranges aren't needed
-    marks = materialise(marks.withColumn("spans", F.when(F.col("copies") == 1, F.col("spans"))), "repeats-marks")
+    copies = materialise(streams.groupBy("sid").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "repeats-copies")
+    listed = spans.join(copies, "sid", "left_anti").groupBy("sid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    marks = listed.unionByName(copies, allowMissingColumns=True)
+    if passage:
+        words = materialise(word_streams(rows, passage), "repeats-words", compression="zstd")
+        found = find(words, Shape(passage, passage // 2, 4), across=True)
+        found = found.groupBy("sid").agg(F.collect_list(F.struct("first", "last")).alias("passages"))
+        marks = marks.unionByName(found, allowMissingColumns=True)
+    else:
+        marks = marks.withColumn("passages", F.lit(None).cast(listed.schema["spans"].dataType))
+    one = lambda c: F.first(c, ignorenulls=True).alias(c)
+    marks = marks.groupBy("sid").agg(one("spans"), one("passages"), one("copies")).join(rows.groupBy("sid").agg(F.count(F.lit(1)).alias("n")), "sid")
+    marks = materialise(marks.select("sid", "spans", "passages", "copies", "n"), "repeats-marks")
     probed = MemberFilter(marks.select("sid"), "sid").mark(rows, "sid")
-    clean = probed.where("NOT hit").select("doc_id", "data", F.lit(None).cast("long").alias("copies"), F.lit(None).cast(marks.schema["spans"].dataType).alias("spans"))
     total = max(1, rows.count())
-    touched = attach(probed.where("hit").drop("hit"), marks, "sid", "copies", total).select("doc_id", "data", "copies", "spans")
+    clean = probed.where("NOT hit")
+    touched = attach(probed.where("hit").drop("hit"), marks, "sid", "n", total).select("doc_id", "data", "copies", "spans", "passages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, kept, sizes = [], [], []
+            removed, kept, sizes, shared = [], [], [], []
             for i in range(batch.num_rows):
                 data, n = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
                 ranges = [(0, len(data))] if n and n > 1 else merged(batch.column(3)[i].as_py() or [])
@@ -66,10 +114,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
                 sizes.append(len(data))
                 kept.append(b"".join(left))
                 removed.append([{"start": a, "end": z} for a, z in ranges])
+                shared.append(sum(z - a for a, z in merged(batch.column(4)[i].as_py() or [])))
             ranges_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, ranges_type), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, ranges_type), pa.array(kept, pa.binary()), pa.array(shared, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "removed", "kept", "passage_words"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    cut = touched.mapInArrow(run, f"doc_id {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    cut = touched.mapInArrow(run, f"doc_id {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary, passage_words long")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return cut.unionByName(clean.select("doc_id", F.length("data").cast("long").alias("n_bytes"), none.alias("removed"), F.col("data").alias("kept")))
+    return cut.unionByName(clean.select("doc_id", F.length("data").cast("long").alias("n_bytes"), none.alias("removed"), F.col("data").alias("kept"), F.lit(0).cast("long").alias("passage_words")))

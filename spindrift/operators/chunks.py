@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
 from spindrift.schema import CHUNK
+from spindrift.session import bound, spread
 
 #: Page length, garbled share and length from which a garbled page stays, alert share.
 MIN_CHARS, GARBLED, KEEP_GARBLED, ALERT = 100, 0.40, 2000, 0.5
@@ -15,11 +16,11 @@ MIN_CHARS, GARBLED, KEEP_GARBLED, ALERT = 100, 0.40, 2000, 0.5
 def judged_pages(pages: DataFrame, min_chars: int = MIN_CHARS, threshold: float = GARBLED) -> DataFrame:
     """Pages (pdf_name, page_number, raw_text, ...) with clean ``text`` and its ``verdict``:
     short, dropped_garbled, kept_garbled or kept. Length comes first, so short pages are never
-    garbled ones."""
-    clean = pages.withColumn("text", X.sanitize(F.col("raw_text")))
-    size, bad = F.length("text"), X.is_garbled(F.col("text"), threshold)
+    garbled ones. A page is cleaned once, whatever is asked of the result."""
+    clean = bound(spread(pages).withColumn("text", X.sanitize(F.col("raw_text"))).withColumn("_bad", X.is_garbled(F.col("text"), threshold)))
+    size, bad = F.length("text"), F.col("_bad")
     verdict = F.when(size < min_chars, "short").when(bad & (size <= KEEP_GARBLED), "dropped_garbled").when(bad, "kept_garbled").otherwise("kept")
-    return clean.withColumn("verdict", verdict)
+    return clean.withColumn("verdict", verdict).drop("_bad")
 
 
 def chunk_table(pages: DataFrame, version: str = "1.1", min_chars: int = MIN_CHARS, threshold: float = GARBLED) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as X
 from spindrift.operators import answer, audit, chunks, dense, enrichment, evaluate, fusion, graphstore, ingest, lexical
 from spindrift.plans import carriers as C
-from spindrift.session import table
+from spindrift.session import remembered, table
 from spindrift.sources import checkpoint, pdf
 from spindrift.streaming.ingest import event_counts
 
@@ -243,7 +243,8 @@ ctx AS (SELECT query_id, list(document ORDER BY rank) AS contexts FROM top GROUP
 
 
 def _index(spark, sf_dir) -> lexical.Bm25Index:
-    return lexical.build_index(table(spark, sf_dir, "documents"), doc_id="doc_id")
+    # built once and stored, as a service would; later queries of the application read it
+    return remembered(spark, ("bm25", sf_dir), lambda: lexical.build_index(table(spark, sf_dir, "documents"), doc_id="doc_id"))
 
 
 def _questions(spark, sf_dir) -> DataFrame:

@@ -7,9 +7,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+T = TypeVar("T")
 
 _TEST_FOLDERS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -50,6 +55,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if it is so small that a scan would keep few of them busy. Tables
+    of over a scan partition for each core, by the optimizer's estimate, stay where they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df if df.isStreaming or int(str(size)) > cores * most else df.repartition(cores)
+
+
+def bound(df: DataFrame) -> DataFrame:
+    """``df`` with its columns as they are: what reads them doesn't evaluate their expressions again. The
+    optimizer moves neither projections nor filters below an observed count."""
+    return df if df.isStreaming else df.observe(f"rows-{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def remembered(spark: SparkSession, key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` gave for the key in this application, until scratch space is released."""
+    key = spark.sparkContext.applicationId, *key
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
@@ -98,6 +130,8 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete all scratch folders of this application, once its results have been written."""
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        del _KEPT[key]
     for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
         remove(spark, path)
 

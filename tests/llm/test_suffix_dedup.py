@@ -26,7 +26,56 @@ def found(df, length):
     return Counter((r.n_bytes, len(r.removed), bytes(r.kept)) for r in X.remove_repeats(df, length).collect())
 
 
-@pytest.mark.parametrize("many", [1, 2000])
+def plain_passages(rows, n):
+    """Words of each text that lie in n words which a different text has too."""
+    texts = [(t or "").encode().split() for t in rows]
+    seen = {}
+    for t, words in zip(rows, texts):
+        for i in range(len(words) - n + 1):
+            seen.setdefault(tuple(words[i : i + n]), set()).add(t)
+    return [len({i + k for i in range(len(w) - n + 1) if len(seen[tuple(w[i : i + n])]) > 1 for k in range(n)}) for w in texts]
+
+
+@pytest.mark.parametrize("many", [1, 8, 2000])
+def test_passages_of_words(spark, documents, many, monkeypatch):
+    monkeypatch.setattr(R, "MANY_REGIONS", many)
+    r = random.Random(6)
+    own = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage, short = own(52), own(49)
+    rows = [r.text for r in documents.limit(60).collect()]
+    rows += [f"{own(30)}  {passage}\n{own(20)}" for _ in range(30)] + [f"{own(30)} {short} {own(20)}" for _ in range(5)]
+    rows += ["a " * 200, own(50), "\n " + passage, None, "", " ", passage + " " + passage]
+    rows += [rows[-1]] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id int, text string")
+    found = {x.doc_id: x.passage_words for x in X.remove_repeats(df, 100).collect()}
+    assert [found[i] for i in range(len(rows))] == plain_passages(rows, 50)
+    assert {x.passage_words for x in X.remove_repeats(df, 100, passage=0).collect()} == {0}
+
+
+def test_word_hashes():
+    a, b = X.word_hashes(b"  one two\n\tone  "), X.word_hashes("one tw\u00f6".encode())
+    assert len(a) == 3 and a[0] == a[2] == b[0] and a[1] != a[0] and b[1] not in a
+    assert len(X.word_hashes(b"")) == len(X.word_hashes(b" \n")) == 0
+    long = b"x" * 5000
+    assert X.word_hashes(long)[0] != X.word_hashes(long + b"x")[0]
+
+
+def test_many_carriers_and_copies(spark, monkeypatch):
+    """A passage in very many texts whose surroundings differ, and very many copies of one text."""
+    monkeypatch.setattr(R, "MANY_REGIONS", 50)
+    largest, compare = [], R.repeated_starts
+    monkeypatch.setattr(R, "repeated_starts", lambda regions, owners, length: (largest.append(len(regions)), compare(regions, owners, length))[1])
+    r = random.Random(2)
+    passage = "".join(r.choice("abcdef ") for _ in range(600))
+    own = lambda n: "".join(r.choice("ghijkl ") for _ in range(n))
+    rows = [own(500) + passage + own(500) for _ in range(1500)] + ["copy " + passage[:300] + own(300)] * 3000 + [own(700)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    out = {x.doc_id: [(s.start, s.end) for s in x.removed] for x in X.remove_repeats(df, 400, passage=0).collect()}
+    assert all(len(out[i]) == 1 and 0 <= 500 - out[i][0][0] < 8 and 0 <= out[i][0][1] - 1100 < 8 for i in range(1500))
+    assert all(out[i] == [(0, len(rows[i].encode()))] for i in range(1500, 4500)) and out[4500] == []
+
+
+@pytest.mark.parametrize("many", [1, 8, 2000])
 def test_brute_force(spark, documents, many, monkeypatch):
     """Also with anchors told apart by longer content, however few regions they have."""
     monkeypatch.setattr(R, "MANY_REGIONS", many)
