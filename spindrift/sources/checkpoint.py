@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from spindrift.operators.chunks import last_wins
 from spindrift.schema import CHUNK, DEFAULTS, REQUIRED
+from spindrift.sources.store import SnapshotStore
 
 
 def empty_chunks(spark: SparkSession) -> DataFrame:
@@ -59,6 +60,13 @@ def write_json_atomic(rows: list[dict], path: str | Path) -> None:
         raise
 
 
+def save_chunks(store: SnapshotStore, fresh: DataFrame, table: str = "chunks") -> bool:
+    """Add new chunks to a store's table, in which they replace those of their documents; the pointer
+    moves in one step. Nothing is written to it without new chunks. Returns whether there were any."""
+    with store.lock():
+        return store.append(table, fresh)
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """The chunk table as Parquet, sorted by id (code points: p10 comes before p2)."""
     chunks.orderBy("id").write.mode("overwrite").parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spindrift.operators.chunks import chunk_table, consistent_state, files_to_process, sync_master
+from spindrift.operators.chunks import chunk_table, consistent_state, files_to_process
 from spindrift.sources.pdf import Extractor, pages, pypdf_extractor
 from spindrift.sources.store import SnapshotStore
 
@@ -23,15 +23,16 @@ def file_stream(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFr
 def sync_stream(files: DataFrame, store: SnapshotStore, checkpoint: str, version: str = "1.1", make: Callable[[], Extractor] = pypdf_extractor()) -> StreamingQuery:
     """Start a query that keeps the store's table ``chunks`` in step with the files.
 
-    A batch that is run again finds its files unchanged and leaves the table as it is.
+    Each batch adds a part with the chunks of its documents; older versions of these are passed over and
+    rewritten now and then, so a batch costs what is new in it. A batch that is run again finds its
+    files unchanged and leaves the table as it is. The store's key of ``chunks`` is ``pdf_name``.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         with store.lock():
-            master = store.read("chunks")
-            todo = files_to_process(batch, consistent_state(master), version)
-            fresh = chunk_table(pages(todo, make)[0], version)
-            store.commit(chunks=sync_master(master, fresh))
+            todo = files_to_process(batch, consistent_state(store.read("chunks")), version)
+            if store.append("chunks", chunk_table(pages(todo, make)[0], version)):
+                store.vacuum()
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,13 +1,14 @@
 import json
 
 import pytest
+from pyspark.sql import types as T
 
 from spindrift.cli import main
 from spindrift.operations import log_event, run_benchmark, run_smoke, timed_event
 from spindrift.schema import CHUNK
 from spindrift.sources import checkpoint, pdf
 from spindrift.sources.settings import load_settings
-from spindrift.sources.store import ManifestStore, SnapshotStore
+from spindrift.sources.store import MOST_PARTS, ManifestStore, SnapshotStore
 from spindrift.streaming.ingest import event_counts, file_stream, sync_stream
 
 
@@ -51,6 +52,28 @@ def test_manifest(spark, tmp_path):
         store.update("one", {"d.pdf": "h"})
 
 
+def test_store_parts(spark, tmp_path):
+    """Parts replace the documents they hold; nothing is written for an empty one; old versions go."""
+    schema = T.StructType.fromDDL("pdf_name string, id string")
+    # the second root isn't taken for a local folder, as an object store or HDFS wouldn't be
+    for root in (tmp_path / "a", f"viewfs://parts{tmp_path}/b"):
+        spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.parts.link./tmp", "file:///tmp")
+        spark.sparkContext._jsc.hadoopConfiguration().set("fs.AbstractFileSystem.viewfs.impl", "org.apache.hadoop.fs.viewfs.ViewFs")
+        store = SnapshotStore(spark, root, {"t": schema}, {"t": "pdf_name"})
+        df = lambda *rows: spark.createDataFrame(rows, schema)  # noqa: E731, B023
+        with store.lock():
+            assert store.append("t", df(("a", "1"), ("a", "2"), ("b", "3")))
+            assert store.append("t", df(("a", "4"))) and not store.append("t", df().limit(0))
+        found = lambda: sorted((r.pdf_name, r.id) for r in store.read("t").collect())  # noqa: E731, B023
+        assert found() == [("a", "4"), ("b", "3")] and len(store.current()["t"]) == 2
+        for i in range(MOST_PARTS):
+            checkpoint.save_chunks(store, df(("c", str(i))), "t")
+        assert found() == [("a", "4"), ("b", "3"), ("c", str(MOST_PARTS - 1))] and len(store.current()["t"]) < MOST_PARTS
+        before = found()
+        assert store.vacuum(3600) == 0 and store.vacuum(0) > 0 and found() == before
+        assert not store.folder.exists("_LOCK") or store.folder.local
+
+
 def files(folder, **texts):
     for name, text in texts.items():
         (folder / f"{name}.pdf").write_bytes(text if isinstance(text, bytes) else "\f".join(text).encode())
@@ -74,7 +97,7 @@ def test_pdf_scan(spark, tmp_path):
 def test_stream(spark, tmp_path):
     data = tmp_path / "in"
     data.mkdir()
-    store = SnapshotStore(spark, tmp_path / "store", {"chunks": CHUNK})
+    store = SnapshotStore(spark, tmp_path / "store", {"chunks": CHUNK}, {"chunks": "pdf_name"})
     long = "word " * 30
 
     def go():
