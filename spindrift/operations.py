@@ -8,7 +8,8 @@ import logging
 import os
 import sys
 import time
-from collections.abc import Iterator
+import urllib.request
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -87,12 +88,33 @@ class SmokeResult:
     message: str
 
 
-def run_smoke(spark: SparkSession, live: bool = False) -> SmokeResult:
-    """Answer one question over two documents offline; live needs the model's key in GROQ_API_KEY."""
-    if live and not os.environ.get("GROQ_API_KEY"):
-        return SmokeResult("live", False, "GROQ_API_KEY is not set")
+def _reachable(url: str) -> int:
+    with urllib.request.urlopen(url, timeout=5) as response:
+        return response.status
+
+
+def run_smoke(spark: SparkSession, live: bool = False, probe: Callable[[str], int] = _reachable, ask: Callable[[str], str] | None = None) -> SmokeResult:
+    """Answer one question over two documents offline.
+
+    Live, nothing is answered offline: the model's key has to be in GROQ_API_KEY and the embedding
+    server at OLLAMA_BASE_URL has to respond; with ``ask``, the model has to answer a prompt as well.
+    The message says what was checked.
+    """
+    if live:
+        if not os.environ.get("GROQ_API_KEY"):
+            return SmokeResult("live", False, "GROQ_API_KEY is not set")
+        url = os.environ.get("OLLAMA_BASE_URL", "http://localhost:11434").rstrip("/") + "/api/tags"
+        try:
+            status = probe(url)
+            if status != 200:
+                return SmokeResult("live", False, f"{url}: status {status}")
+            said = ask("Reply with one word: ready") if ask else None
+        except Exception as failure:  # network and services fail in many ways, none of which may pass
+            return SmokeResult("live", False, f"{type(failure).__name__}: {failure}")
+        if ask and not (said or "").strip():
+            return SmokeResult("live", False, "the model gave an empty answer")
+        return SmokeResult("live", True, "key set, embedding server reached, " + ("model answered" if ask else "model not called"))
     space = spark.createDataFrame([("doc-1", "risk and return", [0.0, 1.0]), ("doc-2", "market spread", [1.0, 0.0])], "id string, document string, embedding array<float>")
     queries = spark.createDataFrame([(1, "what is risk", [0.0, 1.0])], "query_id int, query string, vector array<float>")
     found = answer.answer(queries, space, lexical.build_index(space, text="document"), final_k=1).first()
-    ok = bool(found.answer and found.contexts)
-    return SmokeResult("live" if live else "offline", ok, f"{len(found.contexts)} contexts")
+    return SmokeResult("offline", bool(found.answer and found.contexts), f"{len(found.contexts)} contexts")

@@ -12,6 +12,7 @@ from spindrift.functions import text as X
 from spindrift.operators.dense import dense_topk
 from spindrift.operators.fusion import fused_candidates, rrf
 from spindrift.operators.lexical import Bm25Index, bm25_topk, ranked
+from spindrift.operators.models import throttled
 
 #: List lengths and the fusion constant.
 TOP_K, RRF_K, CANDIDATES, FINAL_K, CONTEXT_CHARS = 50, 60, 20, 5, 2000
@@ -59,8 +60,9 @@ def template_answer(rows: DataFrame) -> DataFrame:
     return rows.withColumn("answer", F.concat(F.lit("Based on "), F.size("contexts").cast("string"), F.lit(" contexts: "), F.substring(first, 1, 80)))
 
 
-def model_answer(make: Callable[[], Callable[[str], str]]) -> Callable[[DataFrame], DataFrame]:
-    """A generator from a model: ``make`` loads a client once per worker; failures become the answer."""
+def model_answer(make: Callable[[], Callable[[str], str]], seconds: float = 0.0) -> Callable[[DataFrame], DataFrame]:
+    """A generator from a model: ``make`` loads a client once per worker, which calls it at most once in
+    so many seconds; failures become the answer."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -70,7 +72,7 @@ def model_answer(make: Callable[[], Callable[[str], str]]) -> Callable[[DataFram
             except Exception as failure:  # contexts are returned whatever the model does
                 return f"Gen Error: {failure}"
 
-        call = make()
+        call = throttled(make(), seconds)
         for prompts in batches:
             yield pd.Series([one(call, p) for p in prompts], dtype="object")
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
+from spindrift.operators.models import throttled
+from spindrift.sources.store import SnapshotStore
 
 
 def prune(cache: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -39,15 +41,16 @@ def rule_context(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("context", made).withColumn("error", F.lit(None).cast("string"))
 
 
-def generated_context(chunks: DataFrame, make: Callable[[], Callable[[str], str]], retries: int = 0) -> DataFrame:
-    """Contexts from a model: ``make`` loads it once per worker; it maps a prompt to a context.
+def generated_context(chunks: DataFrame, make: Callable[[], Callable[[str], str]], retries: int = 0, seconds: float = 0.0) -> DataFrame:
+    """Contexts from a model: ``make`` loads it once per worker; it maps a prompt to a context, at most
+    once in so many seconds in each worker.
 
     A failure becomes an error text. Materialise the result: the call isn't free.
     """
 
     @F.pandas_udf("struct<context:string,error:string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        call = make()
+        call = throttled(make(), seconds)
 
         def one(prompt: str) -> tuple[str | None, str | None]:
             for attempt in range(retries + 1):
@@ -65,6 +68,35 @@ def generated_context(chunks: DataFrame, make: Callable[[], Callable[[str], str]
     return chunks.withColumn("_made", made).select("*", "_made.*").drop("_made")
 
 
+def enrich_stepwise(
+    chunks: DataFrame,
+    store: SnapshotStore,
+    generate: Callable[[DataFrame], DataFrame] = rule_context,
+    step_rows: int = 10_000,
+    persist: Callable[[DataFrame, int], None] | None = None,
+    table: str = "enriched",
+) -> DataFrame:
+    """The cache, kept in a store's table and filled in steps of about ``step_rows`` chunks.
+
+    Each step is written to the store before the next begins, so that a run that breaks off loses one
+    step at most, and the next run goes on from there. ``persist`` is called with the rows of each
+    step that was written and its number. The store's key of the table is ``id``. Rows of chunks that
+    are gone are pruned first, and written only if there were any.
+    """
+    with store.lock():
+        cache = store.read(table)
+        if not cache.join(chunks.select("id"), "id", "left_anti").isEmpty():
+            store.commit(**{table: prune(cache, chunks)})
+        todo = missing(chunks, store.read(table))
+        steps = -(-todo.count() // step_rows)
+        for step in range(steps):
+            # the cache grows below: rows of later steps stay missing, whatever was written before
+            rows = todo.where(F.pmod(F.xxhash64("id"), F.lit(steps)) == step)
+            if store.append(table, apply_context(generate(rows))) and persist:
+                persist(store.last_part(table), step)
+        return store.read(table)
+
+
 def enrich(chunks: DataFrame, cache: DataFrame, generate: Callable[[DataFrame], DataFrame] = rule_context) -> DataFrame:
     """The new cache: pruned rows, with rows made for all chunks that it lacked."""
     pruned = prune(cache, chunks)

@@ -6,13 +6,15 @@ Each function returns the new state; nothing is changed in place.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
 from spindrift.operators.chunks import first_hash_by_document
+from spindrift.session import materialise
 
 #: Pages of a graph batch, rows of an upsert batch.
 GRAPH_PAGES, UPSERT_ROWS = 20, 50
@@ -96,6 +98,40 @@ def upsert_batches(rows: DataFrame, order: str = "ordinal", size: int = UPSERT_R
     return rows.withColumn("batch_no", F.floor(F.col(order) / size).cast("long"))
 
 
+def write_batches(rows: DataFrame, make: Callable[[], Callable[[list[dict]], None]], size: int = UPSERT_ROWS) -> DataFrame:
+    """Hand rows to an outside store in batches of ``size``; (pdf_name, error) of what failed.
+
+    ``make`` opens the store once per task; the function that it returns upserts a batch of rows (id,
+    document, metadata, embedding). A batch that raises ValueError, RuntimeError or OSError fails all
+    documents in it, the others go on; any other exception ends the job. The result is written at
+    once, and no batch is sent again when it is read. A task that is lost is run again, so the store
+    has to bear repeated upserts of a row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upsert_rows, held = make(), []
+
+        def send(batch: list[dict]) -> pa.RecordBatch:
+            try:
+                upsert_rows(batch)
+                failed = {}
+            except (ValueError, RuntimeError, OSError) as failure:
+                failed = {r["metadata"]["source"]: str(failure) for r in batch}
+            return pa.RecordBatch.from_arrays([pa.array(failed.keys(), pa.string()), pa.array(failed.values(), pa.string())], ["pdf_name", "error"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.append(row)
+                if len(held) == size:
+                    yield send(held)
+                    held = []
+        if held:
+            yield send(held)
+
+    failures = rows.select("id", "document", "metadata", "embedding").mapInArrow(run, "pdf_name string, error string")
+    return materialise(failures, "upsert-failures").groupBy("pdf_name").agg(F.min("error").alias("error"))
+
+
 def failed_documents(batched: DataFrame, failed_batches: DataFrame) -> DataFrame:
     """Documents with a row in any failed batch."""
     return batched.join(failed_batches.select("batch_no"), "batch_no", "left_semi").select("pdf_name").distinct()
@@ -115,8 +151,12 @@ def ingest(
     embed: Callable[[DataFrame], DataFrame] | None = None,
     failed: DataFrame | None = None,
     strict: bool = False,
+    write: Callable[[], Callable[[list[dict]], None]] | None = None,
+    report: Callable[..., None] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """New collection and manifest. ``failed(pdf_name)``: documents whose upsert failed.
+    """New collection and manifest. ``failed(pdf_name)``: documents whose upsert failed; with ``write``,
+    rows go to an outside store by :func:`write_batches`, which finds that out. ``report`` is called
+    with the name of each step and what it counted.
 
     All ids of an updated document count as new, so that one with mixed hashes loses no valid
     chunk. With ``strict``, an empty delta leaves everything as it is, removed documents included.
@@ -127,7 +167,12 @@ def ingest(
     names = changed.select("pdf_name").distinct()
     fresh = chunks.join(names, "pdf_name", "left_semi")
     gone = removed_documents(manifest, chunks)
+    if write is not None:
+        broken = write_batches(as_rows(changed, embed), write)
+        failed = broken.select("pdf_name") if failed is None else failed.select("pdf_name").unionByName(broken.select("pdf_name")).distinct()
     failed = failed if failed is not None else names.limit(0)
+    if report is not None:
+        report("ingest", changed=names.count(), removed=gone.count(), failed=failed.count())
     rows = as_rows(changed.join(failed, "pdf_name", "left_anti"), embed)
     kept = delete_sources(delete_ids(collection, stale_rows(collection, fresh)), gone)
     return upsert(kept, rows), committed(manifest, changed, failed, gone, "page_number")

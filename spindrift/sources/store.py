@@ -159,6 +159,10 @@ class SnapshotStore:
         last = rows.groupBy(key).agg(F.max("_part").alias("_part"))
         return rows.join(last, [key, "_part"], "left_semi").select(*schema.fieldNames())
 
+    def last_part(self, name: str) -> DataFrame:
+        """The rows that were written last."""
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{self.current()[name][-1]}")
+
     def _write(self, name: str, df: DataFrame) -> str:
         where = f"{name}/v-{uuid.uuid4().hex[:12]}"
         df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schemas[name].fields]).write.parquet(f"{self.root}/{where}")

@@ -1,6 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.operators import audit, chunks, enrichment, ingest
+from spindrift.sources.store import SnapshotStore
 
 CHUNK = "id string, text string, pdf_name string, file_hash string, pipeline_version string, page_number int, ordinal int"
 
@@ -126,3 +129,62 @@ def test_audit(spark):
     df = spark.createDataFrame([("has one x",), ("has two",), ("bad one",), (None,)], "text string")
     found = [tuple(r)[1:] for r in audit.audit(df, [["one", "two"], ["x", "two"]], ["bad"]).collect()]
     assert found == [(0, 0, True), (0, 0, True), (1, 1, False), (2, 0, False)]
+
+
+def test_enrichment_goes_on_where_it_broke_off(spark, tmp_path):
+    """Each step is stored; a failure late loses none of the steps before, and the next run makes the rest."""
+    rows = made(spark, *[("a", n, "h", "1.1") for n in range(40)])
+    schema = T.StructType.fromDDL(CHUNK + ", text_with_context string, error string")
+    store = SnapshotStore(spark, tmp_path / "s", {"enriched": schema}, {"enriched": "id"})
+    made_in, fail_at = [], [2]
+
+    def generate(df):
+        if len(made_in) == fail_at[0]:
+            raise RuntimeError("out of money")
+        made_in.append(df.count())
+        return enrichment.rule_context(df)
+
+    saved = []
+    persist = lambda df, step: saved.append((step, df.count()))
+    with pytest.raises(RuntimeError):
+        enrichment.enrich_stepwise(rows, store, generate, step_rows=10, persist=persist)
+    done = store.read("enriched").count()
+    assert 0 < done == sum(made_in) == sum(n for _, n in saved) < 40 and [s for s, _ in saved] == [0, 1]
+    fail_at[0] = -1
+    found = enrichment.enrich_stepwise(rows, store, generate, step_rows=10, persist=persist)
+    assert ids(found) == ids(rows) and sum(made_in) == 40
+    before = store.current()
+    assert ids(enrichment.enrich_stepwise(rows, store, generate, step_rows=10)) == ids(rows) and store.current() == before and sum(made_in) == 40
+    fewer = rows.where("page_number < 5")
+    assert ids(enrichment.enrich_stepwise(fewer, store, generate)) == ids(fewer) and sum(made_in) == 40
+
+
+def test_upsert_in_batches_marks_failed_documents(spark, tmp_path):
+    rows = made(spark, *[(p, n, "h", "1.1") for p in "abc" for n in range(4)]).withColumn("text_with_context", F.lit(None).cast("string")).withColumn("is_garbled", F.lit(False)).coalesce(1)
+
+    def make():
+        def send(batch):
+            (tmp_path / batch[0]["id"].replace(":", "_")).write_text(str(len(batch)))
+            if any(r["id"] == "b::p3::i0" for r in batch):
+                raise OSError("full")
+
+        return send
+
+    failed = ingest.write_batches(ingest.as_rows(rows), make, 3)
+    assert sorted((r.pdf_name, r.error) for r in failed.collect()) == [("b", "full"), ("c", "full")]
+    assert sorted(int(f.read_text()) for f in tmp_path.iterdir()) == [3, 3, 3, 3]
+    empty = ingest.as_rows(rows).limit(0)
+    manifest = spark.createDataFrame([("gone", "h")], "pdf_name string, file_hash string")
+    seen = []
+    collection, known = ingest.ingest(rows, empty, manifest, write=make, report=lambda step, **n: seen.append(n))
+    # one batch holds all rows here, and all documents fail with it
+    assert known.collect() == [] and collection.count() == 0 and seen == [{"changed": 3, "removed": 1, "failed": 3}]
+
+    def broken():
+        def send(batch):
+            raise KeyError("a mistake, not a failure of the store")
+
+        return send
+
+    with pytest.raises(Exception, match="KeyError"):
+        ingest.write_batches(ingest.as_rows(rows), broken).collect()

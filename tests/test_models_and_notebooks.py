@@ -1,10 +1,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.cli import main
 from spindrift.functions import notebooks
-from spindrift.operators import graphstore, models
+from spindrift.operations import run_smoke
+from spindrift.operators import evaluate, graphstore, models
 
 
 def test_retry_and_throttle():
@@ -58,7 +60,8 @@ def test_graph_store(spark):
 
 
 def notebook(path, *cells):
-    path.write_text(json.dumps({"cells": [{"cell_type": "code", "id": f"c{i}", "source": c} if isinstance(c, str) else c for i, c in enumerate(cells)]}))
+    made = [{"cell_type": "code", "id": f"c{i}", "source": c, "metadata": {}, "outputs": [], "execution_count": None} if isinstance(c, str) else c for i, c in enumerate(cells)]
+    path.write_text(json.dumps({"nbformat": 4, "nbformat_minor": 5, "metadata": {}, "cells": made}))
     return str(path)
 
 
@@ -74,3 +77,39 @@ def test_notebooks(tmp_path, capsys):
     capsys.readouterr()
     assert main(["audit-notebook", good, str(rules)]) == 1
     assert json.loads(capsys.readouterr().out) == {"missing": [["class"]], "forbidden": ["return"]}
+
+
+def test_notebook_format():
+    cell = {"cell_type": "code", "id": "a", "source": ["x = 1"], "metadata": {}, "outputs": [], "execution_count": 1}
+    of = lambda *cells, **more: notebooks.schema_problems({"nbformat": 4, "nbformat_minor": 5, "metadata": {}, "cells": list(cells)} | more)
+    assert of(cell, {"cell_type": "markdown", "id": "b", "source": "", "metadata": {}}) == []
+    assert of(cell, cell) == ["cell 1: id 'a' again"]
+    assert of(cell | {"id": "no blanks"}) == ["cell 0: id 'no blanks'"] and of(cell | {"source": 1}) == ["cell 0: source"]
+    assert of(cell | {"cell_type": "sql"})[0] == "cell 0: type 'sql'" and of(cell | {"outputs": [{"output_type": "stream", "name": "stdout"}]}) == ["cell 0: output 0"]
+    assert of(cell | {"execution_count": "1"}) == ["cell 0: execution_count"] and of(cell | {"metadata": None}) == ["cell 0: metadata"]
+    assert of(nbformat=3) == ["version 3.5"] and of(cells=None) == ["no cells"] and notebooks.schema_problems([]) == ["not an object"]
+
+
+def test_smoke_of_live_services(spark, monkeypatch):
+    monkeypatch.setenv("GROQ_API_KEY", "k")
+    monkeypatch.setenv("OLLAMA_BASE_URL", "http://there/")
+    asked = []
+    assert run_smoke(spark, True, lambda url: asked.append(url) or 200).ok and asked == ["http://there/api/tags"]
+    assert not run_smoke(spark, True, lambda url: 503).ok
+
+    def down(url):
+        raise OSError("refused")
+
+    assert "refused" in run_smoke(spark, True, down).message
+    assert not run_smoke(spark, True, lambda url: 200, lambda prompt: " ").ok
+    assert "model answered" in run_smoke(spark, True, lambda url: 200, lambda prompt: "ready").message
+
+
+def test_evaluation_by_batches(spark):
+    truths = evaluate.qa_table(spark).where("qid < 7")
+    queries = truths.select(F.col("qid").alias("query_id"), F.col("question").alias("query"))
+    answerer = lambda q: q.select("query_id", F.upper("query").alias("answer"), F.array("query").alias("contexts"))
+    seen = []
+    whole = evaluate.run(queries, truths, answerer)
+    stepwise = evaluate.run(queries, truths, answerer, progress=lambda done, n: seen.append((done, n)), batch=3)
+    assert sorted(whole.collect()) == sorted(stepwise.collect()) and seen == [(3, 7), (6, 7), (7, 7)]

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import types as T
@@ -94,6 +95,29 @@ def test_pdf_scan(spark, tmp_path):
     assert sorted(r.id for r in pdf.new_chunks(scanned, state, make=pdf.form_feed_extractor).collect()) == ["C.pdf::p1::i0", "a.pdf::p1::i0", "a.pdf::p3::i0"]
 
 
+def test_slow_and_unreadable_files(spark, tmp_path):
+    files(tmp_path, fast=["x"], slow=["y"])
+
+    def make():
+        def extract(content):
+            if content == b"y":
+                while True:
+                    pass
+            return [content.decode()]
+
+        return extract
+
+    began = time.monotonic()
+    pages, log = pdf.pages(pdf.scan_files(spark, str(tmp_path)), make, seconds=1, store=True)
+    assert [r.pdf_name for r in pages.collect()] == ["fast.pdf"]
+    assert {r.pdf_name: r.error for r in log.collect()} == {"fast.pdf": None, "slow.pdf": "over 1 seconds"} and time.monotonic() - began < 30
+    with pdf.limited(5), pytest.raises(TimeoutError), pdf.limited(0.05):
+        time.sleep(2)
+    lost = spark.createDataFrame([("lost.pdf", "lost.pdf", "", None)], "pdf_name string, pdf_path string, file_hash string, content binary")
+    pages, log = pdf.pages(pdf.scan_files(spark, str(tmp_path), "fast*", skip_unreadable=True).unionByName(lost), make)
+    assert {r.pdf_name: r.error for r in log.collect()} == {"fast.pdf": None, "lost.pdf": "unreadable"} and pages.count() == 1
+
+
 def test_stream(spark, tmp_path):
     data = tmp_path / "in"
     data.mkdir()
