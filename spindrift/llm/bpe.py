@@ -7,9 +7,10 @@ word is encoded on its own; encodings are remembered in bounded tables per worke
 
 Defined results: a null text counts as empty and has no tokens; white space alone has none either;
 strings of special tokens in a text become these tokens; repeated rows are encoded alike; an empty
-table gives an empty result; code points that the running Unicode tables leave unassigned count as
-neither letters nor digits; all columns are kept, but ``ids`` and ``decoded`` replace columns of
-these names.
+table gives an empty result; all columns are kept, but ``ids`` and ``decoded`` replace columns of
+these names. The tokenizer library's Unicode tables are of other versions than Python's: a text with a
+code point that these leave unassigned, or a mark that they order differently, is normalised and
+split into words by the library; its words are encoded here like all others.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import json
 import re as stdre
 import struct
+import sys
 import unicodedata
 import uuid
 from array import array
@@ -27,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 #: Encodings that a worker remembers: two generations of this many words and runs each.
 REMEMBERED = 200_000
@@ -90,6 +93,24 @@ class WordBpe:
         self.last = [self.vocab.get(c + self.suffix) for c in self.alphabet]
         self.markers = stdre.compile("|".join(map(stdre.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.by_word, self.by_run = Memo(), Memo()
+        plain = {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "decoder": None}
+        self.library = Tokenizer.from_str(json.dumps(spec | plain))
+        self.odd = stdre.compile(f"[{self._odd()}]")
+        self.bytes_of = {c: b for b, c in enumerate(self.alphabet)}
+
+    def _odd(self) -> str:
+        """A character class of the code points whose handling depends on the version of Unicode."""
+        found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+        for c in range(sys.maxunicode + 1):
+            if unicodedata.combining(chr(c)) and any(self.library.normalizer.normalize_str(t) != self.normalise(t) for t in (f"e{chr(c)}\u0301", f"e\u0327{chr(c)}", f"e\u0301{chr(c)}")):
+                found.append(c)
+        spans: list[list[int]] = []
+        for c in sorted(found):
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+        return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in spans)
 
     def normalise(self, text: str) -> str:
         """NFC and lower case. White space is left: it parts words and belongs to none."""
@@ -139,11 +160,11 @@ class WordBpe:
                     heappush(queue, rank << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def encode_word(self, word: str) -> bytes:
+    def encode_word(self, word: str, raw: bytes | None = None) -> bytes:
         """Little-endian 32-bit ids of one word; symbols outside the vocabulary have none."""
         found = self.by_word.get(word)
         if found is None:
-            raw = word.encode()
+            raw = word.encode() if raw is None else raw
             ids = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
             if None in ids:
                 ids = [x for x in ids if x is not None]
@@ -168,11 +189,20 @@ class WordBpe:
             if special is not None:
                 out.append(struct.pack("<I", special))
                 continue
+            if not piece.isascii() and self.odd.search(piece):
+                out.extend(self.encode_odd(piece))
+                continue
             for run in self.runs(self.normalise(piece)):
                 ids = memo.young.get(run)
                 out.append(encode_run(run) if ids is None else ids)
         return b"".join(out)
 
+    def encode_odd(self, piece: str) -> Iterator[bytes]:
+        """Ids of the words that the library finds; it gives each as the characters of its bytes."""
+        for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece)):
+            raw = bytes(map(self.bytes_of.__getitem__, word))
+            yield self.encode_word(raw.decode(errors="surrogateescape"), raw)
+
     def runs(self, text: str) -> list[str]:
         # split() would also part words at U+001C to U+001F
         return self.spaces.split(text) if self.separators.search(text) else text.split()
