@@ -24,8 +24,8 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without repeated 400-byte strings, and its words in passages of 50
-    words and more that other documents have too."""
+    """What is left of every document without repeated 400-byte strings, and where it shares passages of
+    50 words with a different text."""
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400)
     return found.select(
         "doc_id",

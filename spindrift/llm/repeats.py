@@ -22,7 +22,7 @@ in another: searching each in each takes time quadratic in their number.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +35,8 @@ from spindrift.session import materialise
 
 #: Tokens that are looked at at a time; more bits than this would not fit beside a hash.
 CHUNK = 1_000_000
+#: Tokens up to which streams are put together, which spares calls; no more than a chunk.
+BATCH = 200_000
 #: Tokens of regions per suffix array, and regions of an anchor beyond which it is told apart.
 SHARD_TOKENS, MANY_REGIONS = 1_000_000, 2000
 #: Tokens that are compared at once at the start of a region.
@@ -45,7 +47,7 @@ PARTS = 8
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
 _U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _powers(base: int) -> np.ndarray:
@@ -59,10 +61,22 @@ _POWERS: list[np.ndarray] = []
 
 def _tables() -> list[np.ndarray]:
     if not _POWERS:
-        _POWERS.extend(_powers(p) for base in _BASES for p in (base, pow(base, -1, 1 << 64)))
+        _POWERS.extend([_powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))])
     return _POWERS
 
 
+def power_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the tokens before each place, weighted by powers; up to CHUNK tokens."""
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + _U(1)) * _tables()[0][: len(x)], out=sums[1:])
+    return sums
+
+
+def negative_powers() -> np.ndarray:
+    """What makes a difference of :func:`power_sums` the same wherever its tokens stand."""
+    return _tables()[1]
+
+
 @dataclass(frozen=True)
 class Shape:
     """Stretches of ``length`` tokens, anchored by grams of ``gram``; ``width`` bytes a token."""
@@ -85,28 +99,17 @@ class Shape:
             yield t, off - t * self.step - self.step + 1, off - t * self.step
 
 
-def _sums(x: np.ndarray, up: np.ndarray) -> np.ndarray:
-    """Sums of x's tokens, weighted by powers, before each place."""
-    sums = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum((x.astype(np.uint64) + _U(1)) * up[: len(x)], out=sums[1:])
-    return sums
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return h ^ (h >> _U(29))
-
-
-def anchors(x: np.ndarray, shape: Shape, marked: bool = False) -> tuple[np.ndarray, ...]:
-    """Place, first start, last start and hash of each anchor of up to CHUNK tokens; if asked for,
-    also a hash of the anchor's region and its place there, from sums of two kinds."""
+def anchors(x: np.ndarray, shape: Shape, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place, first start, last start and hash of each anchor of up to CHUNK tokens. ``sizes``: of the
+    streams that stand one after another in ``x``; no stretch is in two of them."""
     n, length, gram = len(x), shape.length, shape.gram
     if n < length:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * (1 + marked)
-    up, down, up2, down2 = _tables()
-    sums = _sums(x, up)
-    h = _mixed((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+    sums = power_sums(x)
+    h = (sums[gram:] - sums[:-gram]) * negative_powers()[: n - gram + 1]
+    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    h ^= h >> _U(29)
     g, window, starts = len(h), length - gram + 1, n - length + 1
     value = (h & ~_U((1 << 20) - 1)) | np.arange(g, dtype=np.uint64)
     # smallest of each window: from prefixes and suffixes of blocks of the window's size
@@ -116,17 +119,67 @@ def anchors(x: np.ndarray, shape: Shape, marked: bool = False) -> tuple[np.ndarr
     padded = padded.reshape(blocks, window)
     before = np.minimum.accumulate(padded, axis=1).ravel()
     after = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    at = (np.minimum(after[:starts], before[window - 1 : window - 1 + starts]) & _U((1 << 20) - 1)).astype(np.int64)
+    at = (np.minimum(after[:starts], before[window - 1 : window - 1 + starts]) & _U((1 << 20) - 1)).astype(np.int32)
+    if sizes is not None:
+        # the last starts of each stream would reach into the next
+        ends = np.cumsum(sizes)
+        edges = np.zeros(n + 1, np.int8)
+        np.add.at(edges, np.maximum(ends - sizes, ends - length + 1)[:-1], 1)
+        np.add.at(edges, ends[:-1], -1)
+        at[np.cumsum(edges[:starts]) > 0] = -1
     cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
     first = np.concatenate(([0], cuts))
     last = np.concatenate((cuts - 1, [starts - 1]))
-    place = at[first]
-    if not marked:
-        return place, first, last, h[place]
-    others, end = _sums(x, up2), last + length
-    mark = _mixed((sums[end] - sums[first]) * down[first] + (place - first).astype(np.uint64))
-    mark = _mixed(mark + (others[end] - others[first]) * down2[first] + (last - first).astype(np.uint64))
-    return place, first, last, h[place], mark
+    kept = at[first] >= 0
+    first, last = first[kept], last[kept]
+    place = at[first].astype(np.int64)
+    return place, first, last, h[place]
+
+
+@dataclass
+class Anchors:
+    """Anchors of several streams: those of ``x`` belong to streams ``own`` of ``sids``, and stand there
+    ``shift`` further on."""
+
+    x: np.ndarray
+    sids: list[bytes]
+    own: np.ndarray
+    shift: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    h: np.ndarray
+
+    def at(self, hit: np.ndarray) -> Anchors:
+        return Anchors(self.x, self.sids, *(c[hit] for c in (self.own, self.shift, self.place, self.first, self.last, self.h)))
+
+
+def anchored(streams: Iterable[tuple[bytes, int, np.ndarray]], shape: Shape) -> Iterator[Anchors]:
+    """Anchors of streams (sid, salt, tokens), several at a time; salts go into the hashes."""
+    held: list[tuple[bytes, int, int, np.ndarray]] = []
+    size = 0
+
+    def found() -> Anchors:
+        sizes = np.array([len(part) for *_, part in held])
+        x = np.concatenate([part for *_, part in held]) if len(held) > 1 else held[0][3]
+        place, first, last, h = anchors(x, shape, sizes)
+        begins = np.cumsum(sizes) - sizes
+        own = np.searchsorted(begins, first, "right") - 1
+        salts = np.array([salt & (1 << 64) - 1 for _, salt, *_ in held], np.uint64)
+        shift = np.array([start for _, _, start, _ in held]) - begins
+        return Anchors(x, [sid for sid, *_ in held], own, shift[own], place, first, last, h ^ salts[own])
+
+    for sid, salt, tokens in streams:
+        for start, part in _chunks(tokens, shape):
+            if len(part) < shape.length:
+                continue
+            if held and size + len(part) > BATCH:
+                yield found()
+                held, size = [], 0
+            held.append((sid, salt, start, part))
+            size += len(part)
+    if held:
+        yield found()
 
 
 def _chunks(x: np.ndarray, shape: Shape) -> Iterator[tuple[int, np.ndarray]]:
@@ -139,8 +192,8 @@ def _chunks(x: np.ndarray, shape: Shape) -> Iterator[tuple[int, np.ndarray]]:
 def suffix_array(x: np.ndarray) -> np.ndarray:
     """The suffixes of ``x`` in order.
 
-    Larsson-Sadakane: in each round, only groups that are still tied are sorted, by the rank of
-    the suffix that begins where the known prefix ends.
+    Larsson-Sadakane: in each round, only groups that are still tied are sorted, by the ranks of the
+    suffixes that begin where the known prefix ends, and where it would end a second time.
     """
     n = len(x)
     if x.max(initial=0) < (1 << 16) - 1:  # four tokens make one number
@@ -155,16 +208,20 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
     rank = np.full(n + 1, -1, np.int64)
     rank[order] = np.maximum.accumulate(np.where(heads, place, 0))
     tied = np.flatnonzero(~(heads & np.append(heads[1:], True)))
+    bits = n.bit_length()
+    three = 3 * bits < 64  # ranks make one number
     while len(tied):
         members = order[tied]
         key = rank[members] * (n + 1) + rank[np.minimum(members + known, n)] + 1
+        if three:
+            key = (key << bits) + rank[np.minimum(members + 2 * known, n)] + 1
         by = np.argsort(key)
         members, key = members[by], key[by]
         order[tied] = members
         heads = np.concatenate(([True], key[1:] != key[:-1]))
         rank[members] = np.maximum.accumulate(np.where(heads, tied, 0))
         tied = tied[~(heads & np.append(heads[1:], True))]
-        known *= 2
+        known *= 3 if three else 2
     return order
 
 
@@ -251,37 +308,48 @@ class Bits:
         return (self.words.view(np.uint64)[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
 
 
+def _name(sid: bytes) -> int:
+    return int.from_bytes(sid[:8], "big")
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
 def find(streams: DataFrame, shape: Shape, across: bool = False) -> DataFrame:
-    """(sid, first, last): token ranges of each stream that repeated stretches cover.
+    """(sid, first, last): distinct token ranges of each stream that repeated stretches cover.
 
     ``streams(sid binary, salt long, data binary)``. Streams match only under equal ``salt``. Rows
     of one ``sid`` are one stream to others: what only they share with each other isn't repeated,
-    unless at another place; with ``across``, not even then. Ranges may touch and overlap. The rows are read three times, so they
-    must come from tables.
+    unless at another place; with ``across``, not even then. Ranges may touch and overlap. The rows
+    are read three times, so they must come from tables.
     """
     spark = streams.sparkSession
     elsewhere = F.min("sid") < F.max("sid")
     twice = (elsewhere if across else elsewhere | (F.min("a") < F.max("a"))).alias("twice")
 
-    def keyed(batches: Iterator[pa.RecordBatch], marked: bool = False) -> Iterator[tuple[bytes, np.ndarray, int, tuple]]:
-        for batch in batches:
-            sids, salts, datas = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-            for i in range(batch.num_rows):
-                x = shape.tokens(datas[i].as_py())
-                for start, part in _chunks(x, shape):
-                    place, first, last, h, *mark = anchors(part, shape, marked)
-                    if len(place):
-                        yield sids[i].as_py(), part, start, (place, first, last, h ^ _U(salts[i] & (1 << 64) - 1), *mark)
+    def keyed(batches: Iterator[pa.RecordBatch], only: Bits | None = None) -> Iterator[Anchors]:
+        def rows() -> Iterator[tuple[bytes, int, np.ndarray]]:
+            for batch in batches:
+                sids, salts, datas = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+                own = range(batch.num_rows)
+                if only is not None:
+                    own = np.flatnonzero(only.has(np.array([_name(x) for x in sids], np.uint64))).tolist()
+                for i in own:
+                    yield sids[i], salts[i], shape.tokens(datas[i].as_py())
+
+        yield from anchored(rows(), shape)
+
+    def marks(x: np.ndarray, a: Anchors) -> list[int]:
+        """A hash of each anchor's region and of the anchor's place there."""
+        data, w, digest = x.tobytes(), shape.width, xxhash.xxh3_64_intdigest
+        return [digest(data[i:j], off) for i, j, off in zip((a.first * w).tolist(), ((a.last + shape.length) * w).tolist(), (a.place - a.first).tolist())]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for _, _, _, (_, _, _, h) in keyed(batches):
-            held.append(h)
-            size += len(h)
+        for found in keyed(batches):
+            held.append(found.h)
+            size += len(found.h)
             if size > 500_000:
                 yield tally(held)
                 held, size = [], 0
@@ -296,86 +364,79 @@ def find(streams: DataFrame, shape: Shape, across: bool = False) -> DataFrame:
     repeated = spark.sparkContext.broadcast(Bits(materialise(counted.select("key"), "repeats-keys")))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, ...]] = []
-        names: list[bytes] = []
-        size = 0
-        for sid, _, start, (_, first, last, h, mark) in keyed(batches, True):
-            hit = np.flatnonzero(repeated.value.has(h))
-            out.append((h[hit].view(np.int64), mark[hit].view(np.int64), np.full(len(hit), len(names)), start + first[hit], start + last[hit]))
-            names.append(sid)
-            size += len(hit)
-            if size > 100_000:
-                yield packed(out, names)
-                out, names, size = [], [], 0
-        if out:
-            yield packed(out, names)
-
-    def packed(out: list[tuple[np.ndarray, ...]], names: list[bytes]) -> pa.RecordBatch:
-        key, mark, name, a, b = (np.concatenate(c) for c in zip(*out))
-        sids = pa.array(names, pa.binary()).take(pa.array(name))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(mark), sids, pa.array(a), pa.array(b)], ["key", "mark", "sid", "a", "b"])
+        for found in keyed(batches):
+            a = found.at(np.flatnonzero(repeated.value.has(found.h)))
+            if len(a.h):
+                mark = np.array(marks(a.x, a), np.uint64).view(np.int64)
+                sids = pa.array(a.sids, pa.binary()).take(pa.array(a.own))
+                columns = [pa.array(a.h.view(np.int64)), pa.array(mark), sids, pa.array(a.first + a.shift), pa.array(a.last + a.shift)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "mark", "sid", "a", "b"])
 
     schema = "key long, mark long, sid binary, a long, b long"
-    seen = materialise(streams.mapInArrow(occurrences, schema), "repeats-seen")
+    seen = materialise(streams.mapInArrow(occurrences, schema), "repeats-seen", compression="zstd")
+    holders = seen.select("sid").distinct().select(F.expr("conv(hex(substring(sid, 1, 8)), 16, -10)").cast("long").alias("key"))
     regions = materialise(seen.groupBy("key", "mark").agg(twice), "repeats-regions")
-    several = materialise(regions.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("twice")).alias("lone")).where("n > 1 AND lone > 0"), "repeats-open")
+    several = regions.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("twice")).alias("lone")).where("n > 1 AND lone > 0")
+    several = materialise(several, "repeats-open")
     whole = seen.join(regions.where("twice").select("key", "mark"), ["key", "mark"], "left_semi")
 
-    opened = spark.sparkContext.broadcast(Bits(several))
-    crowded = spark.sparkContext.broadcast(Bits(several.where(F.col("n") > MANY_REGIONS)))
-    step = shape.step
+    many = several.where(F.col("n") > MANY_REGIONS)
+    opened, crowded, holding = (spark.sparkContext.broadcast(Bits(x)) for x in (several, many, holders))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "mark", "sid", "a", "b", "off", "region"]
         types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         out: list[list] = [[] for _ in names]
         seen: dict[tuple[int, int], tuple[bytes, int] | None] = {}
+        size = 0
 
         def add(key: int, mark: int, sid: bytes, a: int, b: int, off: int, region: bytes | None) -> None:
             for column, v in zip(out, (_signed(key), _signed(mark), sid, a, b, off, region)):
                 column.append(v)
 
-        size = 0
-        for sid, part, start, (place, first, last, h, marks) in keyed(batches, True):
-            hit = np.flatnonzero(opened.value.has(h))
-            full = crowded.value.has(h[hit]).tolist()
-            for i, q, a, b, key, mark, many in zip(hit.tolist(), *(c[hit].tolist() for c in (place, first, last, h, marks)), full):
-                if not many:
+        for found in keyed(batches, holding.value):
+            hit = found.at(np.flatnonzero(opened.value.has(found.h)))
+            if not len(hit.h):
+                continue
+            x, full = hit.x, crowded.value.has(hit.h).tolist()
+            columns = (c.tolist() for c in (hit.own, hit.shift, hit.place, hit.first, hit.last, hit.h))
+            for own, shift, q, a, b, key, mark, split in zip(*columns, marks(x, hit), full):
+                sid = hit.sids[own]
+                if not split:
                     # once a region was seen at two places, which make it repeated as a whole, that will do
-                    known, here = seen.get((key, mark), ()), (sid, start + a)
+                    known, here = seen.get((key, mark), ()), (sid, a + shift)
                     if known is None or known == here:
                         continue
                     again = bool(known) and (known[0] != sid or not across)
                     seen[key, mark] = None if again else here
-                    add(key, mark, *here, start + b, q - a, None if again else part[a : b + shape.length].tobytes())
-                    size += b - a + shape.length
+                    add(key, mark, *here, b + shift, q - a, None if again else x[a : b + shape.length].tobytes())
+                    size += (b - a + shape.length) * shape.width
                     continue
                 for t, low, high in shape.parts(q - a, b - a):
                     # all stretches of this part hold the tokens between its last start and its first end
-                    content = part[a + high : a + low + shape.length].tobytes()
+                    content = x[a + high : a + low + shape.length].tobytes()
                     low, high = a + max(0, low), a + min(b - a, high)
-                    region = part[low : high + shape.length].tobytes()
+                    region = x[low : high + shape.length].tobytes()
                     mark = xxhash.xxh3_64_intdigest(region, seed=q - low)
-                    add(xxhash.xxh3_64_intdigest(content, seed=key ^ (t & 0xFFFF)), mark, sid, start + low, start + high, q - low, region)
-                    size += step + shape.length
-            if size * shape.width > 8 << 20:
+                    add(xxhash.xxh3_64_intdigest(content, seed=key ^ (t & 0xFFFF)), mark, sid, low + shift, high + shift, q - low, region)
+                    size += len(region)
+            if size > 8 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
                 out, size = [[] for _ in names], 0
                 if len(seen) > 500_000:
                     seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
-    held = materialise(streams.mapInArrow(texts, schema + ", off int, region binary"), "repeats-texts")
+    held = materialise(streams.mapInArrow(texts, schema + ", off int, region binary"), "repeats-texts", compression="zstd")
     distinct = held.groupBy("key", "mark").agg(F.any_value("region", True).alias("region"), F.min("sid").alias("sid"), twice, F.min("off").alias("off"))
-    distinct = materialise(distinct.select("key", "mark", "region", "twice", "sid", "off"), "repeats-distinct")
-    full = materialise(distinct.groupBy("key").count().where(F.col("count") > MANY_REGIONS).select("key"), "repeats-full")
+    distinct = distinct.select("key", "mark", "region", "twice", "sid", "off")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[int, int, bytes, bool, bytes, int]] = []
+        # rows come sorted by key; a shard has whole keys
+        group: list[tuple] = []
         size = 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = tuple(c[i].as_py() for c in batch.columns)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if size > SHARD_TOKENS and row[0] != group[-1][0]:
                     yield shard(group)
                     group, size = [], 0
@@ -384,44 +445,54 @@ def find(streams: DataFrame, shape: Shape, across: bool = False) -> DataFrame:
         if group:
             yield shard(group)
 
-    def shard(group: list[tuple[int, int, bytes, bool, bytes, int]]) -> pa.RecordBatch:
+    def shard(group: list[tuple]) -> pa.RecordBatch:
+        length, w = shape.length, shape.width
         # a region can only match where it shares a part's content with another one; what is repeated
         # as a whole is only looked at for the sake of others
-        contents = [[xxhash.xxh3_64_intdigest(g[2][high * shape.width : (low + shape.length) * shape.width], seed=g[0] & 0xFFFFFFFF) for _, low, high in shape.parts(g[5], len(g[2]) // shape.width - shape.length)] for g in group]
+        contents = [[xxhash.xxh3_64_intdigest(region[high * w : (low + length) * w], seed=key & 0xFFFFFFFF) for _, low, high in shape.parts(off, len(region) // w - length)] for key, _, region, _, _, off in group]
         times = Counter(c for own in contents for c in own)
         asked = {c for g, own in zip(group, contents) if not g[3] for c in own if times[c] > 1}
         left = [g for g, own in zip(group, contents) if not asked.isdisjoint(own)]
-        rows = [(g[0], g[1], 0, len(g[2]) // shape.width - shape.length) for g in group if g[3]]
+        rows = [(g[0], g[1], 0, len(g[2]) // w - length) for g in group if g[3]]
         if left:
-            # across streams, regions of one stream count once; else each counts
-            names: dict[bytes, int] = {}
-            owners = [names.setdefault(g[4], len(names)) if across else i for i, g in enumerate(left)]
-            if across:  # what is repeated as a whole has another owner than anything
-                owners = [-1 - i if g[3] else o for i, (g, o) in enumerate(zip(left, owners))]
-            for (key, mark, _, twice, _, _), flags in zip(left, repeated_starts([shape.tokens(g[2]) for g in left], owners, shape.length)):
-                if not twice:
-                    rows.extend((key, mark, lo, hi) for lo, hi in _spans(flags))
+            owners = list(range(len(left)))
+            if across:  # regions of one stream count once, unless they are repeated as a whole
+                names: dict[bytes, int] = {}
+                owners = [-1 - i if g[3] else names.setdefault(g[4], i) for i, g in enumerate(left)]
+            for g, flags in zip(left, repeated_starts([shape.tokens(g[2]) for g in left], owners, length)):
+                if not g[3]:
+                    rows.extend((g[0], g[1], lo, hi) for lo, hi in _spans(flags))
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([],) * 4)], ["key", "mark", "lo", "hi"])
 
-    dealt = distinct.join(full, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    found = materialise(dealt.mapInArrow(compare, "key long, mark long, lo long, hi long"), "repeats-found")
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "key long, mark long, lo long, hi long")
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # every stretch by itself: there may be any number of regions, but each has few starts
         for batch in batches:
             for i in range(batch.num_rows):
                 key, mark, region, twice, sid, _ = (c[i].as_py() for c in batch.columns)
-                w, n = shape.width, len(region) // shape.width - shape.length + 1
-                names = [xxhash.xxh3_128_digest(region[lo * w : (lo + shape.length) * w]) for lo in range(n)]
+                w, length = shape.width, shape.length
+                n = len(region) // w - length + 1
+                names = [xxhash.xxh3_128_digest(region[lo * w : (lo + length) * w]) for lo in range(n)]
                 columns = [[key] * n, [mark] * n, range(n), names, [twice] * n, [sid] * n]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key", "mark", "lo", "name", "twice", "sid"])
 
-    single = distinct.join(full, "key", "left_semi").mapInArrow(stretches, "key long, mark long, lo long, name binary, twice boolean, sid binary")
-    single = materialise(single, "repeats-stretches")
-    again = F.max("twice") | (F.min("sid") < F.max("sid") if across else F.count(F.lit(1)) > 1)
-    again = single.groupBy("key", "name").agg(again.alias("again")).where("again").select("key", "name")
-    apart = single.join(again, ["key", "name"], "left_semi").select("key", "mark", "lo", F.col("lo").alias("hi"))
-    parts = held.select("key", "mark", "sid", "a").join(found.unionByName(apart), ["key", "mark"])
-    within = parts.select("sid", (F.col("a") + F.col("lo")).alias("first"), (F.col("a") + F.col("hi") + (shape.length - 1)).alias("last"))
-    return whole.select("sid", F.col("a").alias("first"), (F.col("b") + (shape.length - 1)).alias("last")).unionByName(within).distinct()
+    if many.isEmpty():
+        found = materialise(compared(distinct), "repeats-found")
+    else:
+        distinct = materialise(distinct, "repeats-distinct")
+        full = materialise(distinct.groupBy("key").count().where(F.col("count") > MANY_REGIONS).select("key"), "repeats-full")
+        single = distinct.join(full, "key", "left_semi").select(distinct.columns)
+        single = materialise(single.mapInArrow(stretches, "key long, mark long, lo long, name binary, twice boolean, sid binary"), "repeats-stretches")
+        again = F.max("twice") | (elsewhere if across else F.count(F.lit(1)) > 1)
+        again = single.groupBy("key", "name").agg(again.alias("again")).where("again").select("key", "name")
+        apart = single.join(again, ["key", "name"], "left_semi").select("key", "mark", "lo", F.col("lo").alias("hi"))
+        rest = distinct.join(full, "key", "left_anti").select(distinct.columns)
+        found = materialise(compared(rest).unionByName(apart), "repeats-found")
+
+    last = shape.length - 1
+    parts = held.select("key", "mark", "sid", "a").join(found, ["key", "mark"])
+    inside = parts.select("sid", (F.col("a") + F.col("lo")).alias("first"), (F.col("a") + F.col("hi") + last).alias("last"))
+    return whole.select("sid", F.col("a").alias("first"), (F.col("b") + last).alias("last")).unionByName(inside).distinct()

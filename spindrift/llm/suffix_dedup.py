@@ -4,9 +4,10 @@ A string of ``length`` bytes is repeated if it starts anywhere else too, in the
 another; all its occurrences go. :mod:`spindrift.llm.repeats` finds the strings. Equal texts are
 one stream there: if there are several and they are long enough, they are covered from end to end.
 
-A passage of many words may be shorter than that. It stays, but a second search, over streams of word
-hashes, counts the words of each text that lie in passages of ``passage`` words or more which a
-different text has too.
+A passage of many words may be shorter than that. It stays, but ``passage_words`` shows it: the words of
+a text in strings of two thirds of ``passage`` words that a different text has too. They are looked
+for at anchors of which every window of ``passage`` words has one: each shared passage shows, if not
+to its ends, and shorter ones than two thirds never do.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing; bytes are
 those of UTF-8, and what is left may start within a character; null identifiers are labels like any
@@ -20,45 +21,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.repeats import Shape, find
+from spindrift.llm.repeats import CHUNK, Shape, anchored, find, negative_powers, power_sums
 from spindrift.llm.shared import MemberFilter, attach
 from spindrift.session import materialise
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[*b" \t\n\v\f\r"]] = True
-#: Weights of a word's bytes by place, used over again in words that are longer.
-_WEIGHTS = np.random.default_rng(7).integers(0, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def word_hashes(data: bytes) -> np.ndarray:
     """A 32-bit hash of each word; words end at ASCII white space."""
-    x = np.frombuffer(data.lstrip(b" \t\n\v\f\r"), np.uint8)
-    if not len(x):
-        return np.empty(0, np.uint32)
-    inside = ~_BLANK[x]
-    starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])))
-    place = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
-    values = (x.astype(np.uint64) + np.uint64(1)) * _WEIGHTS[place & 1023] * inside
-    h = np.add.reduceat(values, starts)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(32)).astype(np.uint32)
-
-
-def word_streams(rows: DataFrame, least: int) -> DataFrame:
-    """``sid, salt, data``: texts with at least so many words as streams of word hashes."""
+    x = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(_BLANK[x].view(np.int8), prepend=1, append=1))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        # as many words as fit the tables of powers
+        base = starts[at]
+        stop = int(np.searchsorted(ends, base + CHUNK, "right"))
+        if stop == at:
+            out[at] = xxhash.xxh3_64_intdigest(data[base : ends[at]])
+            at += 1
+            continue
+        sums = power_sums(x[base : ends[stop - 1]])
+        a, z = starts[at:stop] - base, ends[at:stop] - base
+        out[at:stop] = (sums[z] - sums[a]) * negative_powers()[a]
+        at = stop
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def shared_strings(streams: DataFrame, passage: int) -> DataFrame:
+    """(sid, first, last): words of each text in strings of two thirds of ``passage`` words that another
+    text has too, at the anchors of its windows of ``passage`` words. Every window has an anchor, and
+    equal windows have equal ones: so each shared passage shows, and nothing shorter than two thirds."""
+    shape = Shape(passage, -(-2 * passage // 3), 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [word_hashes(x.as_py()) for x in batch.column(1)]
-            long = [i for i, x in enumerate(found) if len(x) >= least]
-            columns = [batch.column(0).take(pa.array(long, pa.int64())), pa.array([0] * len(long), pa.int64()), pa.array([found[i].tobytes() for i in long], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["sid", "salt", "data"])
+        rows = ((sid, 0, word_hashes(data)) for batch in batches for sid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for found in anchored(rows, shape):
+            sids = pa.array(found.sids, pa.binary()).take(pa.array(found.own))
+            yield pa.RecordBatch.from_arrays([pa.array(found.h.view(np.int64)), sids, pa.array((found.place + found.shift).astype(np.int32))], ["key", "sid", "first"])
 
     # a word and the blank before it take two bytes at least
-    return rows.where(F.length("data") >= 2 * least - 1).select("sid", "data").mapInArrow(run, "sid binary, salt long, data binary")
+    long = streams.where(F.length("data") >= 2 * passage - 1).select("sid", "data")
+    placed = materialise(long.mapInArrow(run, "key long, sid binary, first int"), "repeats-words", compression="zstd")
+    name = F.xxhash64("sid")
+    repeated = materialise(placed.groupBy("key").agg((F.min(name) < F.max(name)).alias("several")).where("several").select("key"), "repeats-shared")
+    hits = MemberFilter(repeated, "key").keep(placed, "key").join(repeated, "key", "left_semi")
+    return hits.select("sid", F.col("first").cast("long").alias("first"), (F.col("first") + (shape.gram - 1)).cast("long").alias("last"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -74,22 +90,25 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, removed, kept, passage_words``: removed ranges [start, end), the bytes that
-    are left, and the text's words in passages that another text has too (0 if ``passage`` is 0)."""
+    are left, and the text's words in long strings that another text has too (0 if ``passage`` is 0)."""
     data = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), data.alias("data"))
     rows = rows.withColumn("sid", F.substring(F.unhex(F.sha2("data", 256)), 1, 16))
-    streams = rows.where(F.length("data") >= length).select("sid", F.lit(0).cast("long").alias("salt"), "data")
-    spans = find(streams, Shape(length, length // 2, 1))
-
-    # a text with copies goes whole, so its ranges aren't needed
-    copies = materialise(streams.groupBy("sid").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "repeats-copies")
-    listed = spans.join(copies, "sid", "left_anti").groupBy("sid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    least = min(length, 2 * passage - 1) if passage else length
+    # a text with copies goes whole, so its ranges aren't needed; for others one of the copies will do
+    copies = rows.where(F.length("data") >= least).groupBy("sid").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copies = materialise(copies, "repeats-copies")
+    streams = MemberFilter(copies, "sid").mark(rows.where(F.length("data") >= least), "sid")
+    again = materialise(streams.where("hit").groupBy("sid").agg(F.first("data").alias("data")), "repeats-copied", compression="zstd")
+    streams = streams.where("NOT hit").select("sid", "data").unionByName(again).select("sid", F.lit(0).cast("long").alias("salt"), "data")
+    spans = find(streams.where(F.length("data") >= length), Shape(length, length // 2, 1))
+
+    copies = copies.join(again.where(F.length("data") >= length), "sid", "left_semi")
+    ranges = F.collect_list(F.struct("first", "last"))
+    listed = spans.join(copies, "sid", "left_anti").groupBy("sid").agg(ranges.alias("spans"))
     marks = listed.unionByName(copies, allowMissingColumns=True)
     if passage:
-        words = materialise(word_streams(rows, passage), "repeats-words", compression="zstd")
-        found = find(words, Shape(passage, passage // 2, 4), across=True)
-        found = found.groupBy("sid").agg(F.collect_list(F.struct("first", "last")).alias("passages"))
-        marks = marks.unionByName(found, allowMissingColumns=True)
+        marks = marks.unionByName(shared_strings(streams, passage).groupBy("sid").agg(ranges.alias("passages")), allowMissingColumns=True)
     else:
         marks = marks.withColumn("passages", F.lit(None).cast(listed.schema["spans"].dataType))
     one = lambda c: F.first(c, ignorenulls=True).alias(c)
