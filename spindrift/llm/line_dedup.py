@@ -1,6 +1,8 @@
 """Line dedup: a segment-partition join finds lines within EDITS edits, one line of a class stays.
 
-Lines are compared as UTF-8 bytes. A line of length l is cut into EDITS + 1 segments at fixed
+Lines are compared by code points, so that an edit is one letter of any script. How many edits link two
+lines follows from their length: none below LEAST, EDITS from there, where they are a tenth of it or
+less. A line of length l is cut into EDITS + 1 segments at fixed
 places; two lines within EDITS edits share one of them, at nearly the same place. Each distinct
 line puts its own segments into the index and probes the index with those of its substrings that
 could be a segment of a line of its length or up to EDITS shorter (windows narrowed from the left
@@ -12,7 +14,7 @@ compared across, in bounded blocks, and pairs within a class need no comparison.
 corpus, the first line of a class stays, by doc_id and then by place; the others go.
 
 Defined results: a null text counts as empty and has no lines; blank lines are never dropped; lines
-shorter than LEAST_BYTES are linked with equal ones only; null identifiers come first; rows that
+shorter than LEAST are linked with equal ones only; null identifiers come first; rows that
 repeat an identifier and a text are treated alike; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -32,7 +34,8 @@ from spindrift.llm.repeats import Bits
 from spindrift.llm.shared import MemberFilter, attach
 from spindrift.session import materialise
 
-EDITS, LEAST_BYTES = 2, 20
+#: Edits that link two lines, and code points from which they do.
+EDITS, LEAST = 2, 20
 #: Lines of a key that are compared with as many others at a time.
 BLOCK = 2048
 _U = np.uint64
@@ -62,7 +65,7 @@ def probes(length: int, edits: int = EDITS) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def within(a: bytes, b: bytes, edits: int = EDITS) -> bool:
+def within(a: bytes | str, b: bytes | str, edits: int = EDITS) -> bool:
     """Whether the edit distance is at most ``edits``: banded, one bit per diagonal.
 
     Row by row, bit d of ``level[e]`` says that diagonal d is reached with e edits. The band has
@@ -145,18 +148,24 @@ def _segments(rows: DataFrame) -> DataFrame:
             texts = batch.column("text")
             for i in range(batch.num_rows):
                 for line in lines(texts[i].as_py()):
-                    n = len(line)
-                    if n < LEAST_BYTES:
+                    if len(line) < LEAST:
                         continue
                     lid = _id(line)
                     if lid in seen:
                         continue
                     seen.add(lid)
+                    letters = None if line.isascii() else line.decode()
+                    n = len(line) if letters is None else len(letters)
+                    if n < LEAST:
+                        continue
                     plan = plans.get(n)
                     if plan is None:
                         own = [(at, at + size, n * 4 + i) for i, (at, size) in enumerate(cuts(n))]
                         plan = plans[n] = own + [(at, at + size, (n - less) * 4 + i) for less, i, at, size in probes(n)]
-                    keys.extend([digest(line[a:z], seed) for a, z, seed in plan])
+                    if letters is None:
+                        keys.extend([digest(line[a:z], seed) for a, z, seed in plan])
+                    else:
+                        keys.extend([digest(letters[a:z].encode(), seed) for a, z, seed in plan])
                     ids.append(lid)
                     counts.append(len(plan))
                     if len(ids) > 20_000:
@@ -215,7 +224,7 @@ def _line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             found: dict[int, bytes] = {}
             for i in range(batch.num_rows):
-                found.update((_id(x), x) for x in lines(batch.column("text")[i].as_py()) if len(x) >= LEAST_BYTES)
+                found.update((_id(x), x) for x in lines(batch.column("text")[i].as_py()) if len(x) >= LEAST)
             ids = np.fromiter(found, np.int64, len(found))
             hit = np.flatnonzero(sent.value.has(ids.view(np.uint64)))
             every = list(found.values())
@@ -229,7 +238,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [within(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            near = [within(x.decode(), y.decode()) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return both.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
@@ -248,7 +257,7 @@ def _across(open_rows: DataFrame, texts: DataFrame) -> DataFrame:
                 if row[:3] != name:
                     yield compare(name, group)
                     group, name = [], row[:3]
-                group.append(row[3:])
+                group.append((*row[3:6], row[6].decode()))
         yield compare(name, group)
 
     def compare(name: tuple | None, group: list[tuple]) -> pa.RecordBatch:
@@ -335,14 +344,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = MemberFilter(marks, "lid").keep(placed, "lid")
     judged = attach(found, marks, "lid", "n", max(1, placed.count())).where("n IS NOT NULL")
     gone = F.when(~(F.col("doc").eqNullSafe(F.col("keep.doc")) & F.col("at").eqNullSafe(F.col("keep.at"))), F.col("at"))
-    touched = materialise(judged.groupBy("rid").agg(F.sort_array(F.collect_set(gone)).alias("dropped"), F.size(F.collect_set("at")).cast("long").alias("n_linked")), "lines-touched")
+    # a row's name is a hash; its identifier goes with it
+    touched = materialise(judged.groupBy("rid", F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_set(gone)).alias("dropped"), F.size(F.collect_set("at")).cast("long").alias("n_linked")), "lines-touched")
 
     n_lines = F.expr(r"CAST(size(filter(split(coalesce(text, ''), '\n'), l -> btrim(l, ' \t\n\u000B\f\r') <> '')) AS BIGINT)")
     marked = MemberFilter(touched, "rid").mark(rows, "rid")
     none = F.array().cast("array<bigint>")
     whole = F.coalesce("text", F.lit(""))
     plain = marked.where("NOT hit").select("doc_id", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_linked"), none.alias("dropped"), whole.alias("kept"))
-    maybe = marked.where("hit").join(touched, "rid", "left").withColumn("dropped", F.coalesce("dropped", none)).withColumn("n_linked", F.coalesce("n_linked", F.lit(0)))
+    maybe = marked.where("hit")
+    maybe = maybe.join(touched, (maybe["rid"] == touched["rid"]) & maybe["doc_id"].eqNullSafe(touched["_doc"]), "left").withColumn("dropped", F.coalesce("dropped", none)).withColumn("n_linked", F.coalesce("n_linked", F.lit(0)))
     schema = "doc_id long, n_lines long, n_linked long, dropped array<long>, kept string"
     changed = maybe.select("doc_id", "text", n_lines.alias("n_lines"), "n_linked", "dropped").mapInArrow(_cut, schema)
     return plain.unionByName(changed)

@@ -51,10 +51,10 @@ def plain(docs):
             x = parent[x]
         return x
 
-    every = [x for x in parent if len(x) >= X.LEAST_BYTES]
+    every = [x for x in parent if len(x.decode()) >= X.LEAST]
     for i, a in enumerate(every):
         for b in every[i + 1 :]:
-            if abs(len(a) - len(b)) <= 2 and root(a) != root(b) and distance(a, b) <= 2:
+            if abs(len(a.decode()) - len(b.decode())) <= 2 and root(a) != root(b) and distance(a.decode(), b.decode()) <= 2:
                 parent[root(a)] = root(b)
     size, seen, out = Counter(root(x) for _, t in rows for x in X.lines(t) if x.split()), set(), []
     for i, t in rows:
@@ -74,7 +74,7 @@ def test_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(X, "BLOCK", block)
     r = random.Random(3)
     stem = bytes(r.choice(b"abcdefgh ") for _ in range(60))
-    pool = [edited(r, stem, r.randrange(7), b"xyz").decode() for _ in range(60)] + ["short", "shoxt", "", " ", "é" * 15, "é" * 14 + "e"]
+    pool = [edited(r, stem, r.randrange(7), b"xyz").decode() for _ in range(60)] + ["short", "shoxt", "", " ", "é" * 15, "é" * 14 + "e", "日本語の文章を一行に書いたもので、短くない。", "日本語の文章が一行に書いたもので長くない。", "à la carte du café, une fois", "a la carte du cafe, une fois", "à la carté du cafe, un fois"]
     docs = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(6)))) for i in range(40)] + [(None, pool[0] + "\n" + pool[0]), (99, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = [(r.doc_id, r.n_lines, r.n_linked, list(r.dropped), r.kept) for r in X.dedup_lines(df).collect()]
