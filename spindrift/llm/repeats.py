@@ -39,8 +39,8 @@ CHUNK = 1_000_000
 BATCH = 200_000
 #: Tokens of regions per suffix array, and regions of an anchor beyond which it is told apart.
 SHARD_TOKENS, MANY_REGIONS = 1_000_000, 2000
-#: Tokens that are compared at once at the start of a region.
-STRIDE = 16
+#: Tokens that are compared at once where more than one is alike.
+STRIDE = 32
 #: Longer content tells starts apart in this many parts.
 PARTS = 8
 #: Bits of the filters: 16 a member within these bounds.
@@ -244,18 +244,19 @@ def common_prefixes(x: np.ndarray, order: np.ndarray, begins: np.ndarray, ends:
         j = before[i]
         length = np.where(j >= 0, np.maximum(h[lanes] - 1, 0), 0)
         live = np.flatnonzero((j >= 0) & (length < most))
-        # no match goes beyond a region's end, which is unlike any other token
-        while step == 0 and len(live):
-            a, b = i[live] + length[live], j[live] + length[live]
-            unlike = padded[a[:, None] + stride] != padded[b[:, None] + stride]
-            length[live] += np.where(unlike.any(axis=1), unlike.argmax(axis=1), STRIDE)
-            live = live[~unlike.any(axis=1) & (length[live] < most)]
-        length = np.minimum(length, most)
-        while len(live):
+        # no match goes beyond a region's end, which is unlike any other token; most end at the first
+        if step:
             now = length[live]
             live = live[padded[i[live] + now] == padded[j[live] + now]]
             length[live] += 1
             live = live[length[live] < most]
+        while len(live):
+            a, b = i[live] + length[live], j[live] + length[live]
+            unlike = padded[a[:, None] + stride] != padded[b[:, None] + stride]
+            ended = unlike.any(axis=1)
+            length[live] += np.where(ended, unlike.argmax(axis=1), STRIDE)
+            live = live[~ended & (length[live] < most)]
+        length = np.minimum(length, most)
         shared[i], h[lanes] = length, length
     return shared
 
