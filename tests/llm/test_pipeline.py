@@ -68,3 +68,13 @@ def test_mixture_keeps_all_rows(spark, documents, odd, empty):
         found = stage(spark, df, SF)
         assert found.columns == df.columns
         assert Counter(r.doc_id for r in found.collect()) == Counter(r.doc_id for r in df.collect())
+
+
+def test_clashing_columns(spark, odd):
+    """All stages but the last keep further columns, by whatever name."""
+    names = ["hit", "digest", "component", "_w", "mix_rank", "n", "keep_id"]
+    wide = odd.selectExpr("*", *[f"'{c}' AS {c}" for c in names if c != "mix_rank"])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, wide, SF)
+        assert found.columns == wide.columns, name
+        assert all(r[c] == c for r in found.collect() for c in names if c != "mix_rank")
