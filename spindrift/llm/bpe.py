@@ -92,7 +92,7 @@ class WordBpe:
         self.inner = [self.vocab.get(c) for c in self.alphabet]
         self.last = [self.vocab.get(c + self.suffix) for c in self.alphabet]
         self.markers = stdre.compile("|".join(map(stdre.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.by_word, self.by_run = Memo(), Memo()
+        self.forget()
         plain = {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "decoder": None}
         self.library = Tokenizer.from_str(json.dumps(spec | plain))
         self.odd = stdre.compile(f"[{self._odd()}]")
@@ -100,18 +100,20 @@ class WordBpe:
 
     def _odd(self) -> str:
         """A character class of the code points whose handling depends on the version of Unicode."""
-        found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
-        for c in range(sys.maxunicode + 1):
-            if unicodedata.combining(chr(c)) and any(self.library.normalizer.normalize_str(t) != self.normalise(t) for t in (f"e{chr(c)}\u0301", f"e\u0327{chr(c)}", f"e\u0301{chr(c)}")):
-                found.append(c)
         spans: list[list[int]] = []
-        for c in sorted(found):
-            if spans and spans[-1][1] == c - 1:
-                spans[-1][1] = c
-            else:
-                spans.append([c, c])
+        for c in range(sys.maxunicode + 1):
+            x = chr(c)
+            if unicodedata.category(x) == "Cn" or unicodedata.combining(x) and any(self.library.normalizer.normalize_str(t) != self.normalise(t) for t in (f"e{x}\u0301", f"e\u0327{x}", f"e\u0301{x}")):
+                if spans and spans[-1][1] == c - 1:
+                    spans[-1][1] = c
+                else:
+                    spans.append([c, c])
         return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in spans)
 
+    def forget(self) -> None:
+        """Give up what is remembered."""
+        self.by_word, self.by_run = Memo(), Memo()
+
     def normalise(self, text: str) -> str:
         """NFC and lower case. White space is left: it parts words and belongs to none."""
         if not text.isascii():
@@ -275,5 +277,6 @@ def encode_rows(docs: DataFrame, vocabulary: str, text: str = "text", decode: bo
                     columns = [pa.array(ids, pa.binary())] + ([pa.array(decoded, pa.binary()).cast(pa.string())] if decode else [])
                     yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*names, *new])
                     start, ids, decoded, held = i + 1, [], [], 0
+        bpe.forget()  # the worker may go on with another job
 
     return docs.mapInArrow(run, schema)

@@ -15,6 +15,7 @@ gives an empty result; other columns are ignored by ``exact_groups`` and kept by
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,11 @@ class DigestIndex:
     def runs(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/level0/*")
 
+    def lookup(self, digests: Sequence[str]) -> DataFrame:
+        """Index rows of a few digests. The equality reaches the scan, where the runs' bloom filters and
+        sorted pages leave out most of them; large sets of digests are joined instead."""
+        return self.runs().where(F.col("digest").isin(list(digests)))
+
     def compact(self, keep: str = "min") -> DataFrame:
         """Level 1: (digest, keep_id, n), one row per digest, written sorted.
 

@@ -51,3 +51,20 @@ def test_runs_are_sorted_and_merge(spark, documents):
 def test_native(documents):
     plan = X.exact_groups(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+
+
+def test_lookup_of_few_digests(spark, documents, tmp_path):
+    """Runs of several ingests are probed by equality filters that reach the scan."""
+    index = X.DigestIndex(spark, f"file://{tmp_path}/index")
+    index.ingest(documents.where("doc_id % 2 = 0"))
+    index.ingest(documents.where("doc_id % 2 = 1"))
+    rows = documents.select("doc_id", X.sha256_hex(F.coalesce("text", F.lit(""))).alias("digest")).collect()
+    wanted = {r.digest for r in rows[:3]}
+    found = index.lookup(sorted(wanted))
+    assert sorted(r.id for r in found.collect()) == sorted(r.doc_id for r in rows if r.digest in wanted)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "In(digest" in plan and "Exchange" not in plan
+    merged = {r.digest: (r.keep_id, r.n) for r in index.compact("max").collect()}
+    for d in wanted:
+        own = [r.doc_id for r in rows if r.digest == d]
+        assert merged[d] == (max(own), len(own))
