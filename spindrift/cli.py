@@ -42,7 +42,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         return int(bool(missing or forbidden))
 
     from spindrift.operations import run_benchmark, run_smoke
-    from spindrift.plans import catalogue
+    from spindrift.plans import catalogue, stores  # noqa: F401
     from spindrift.session import build_session
 
     spark = build_session("spindrift-cli")

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from spindrift.plans import stores  # noqa: F401
 from spindrift.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
