@@ -8,9 +8,8 @@ inside an article calls by a word that chrome and text share (header, related, w
 
 The words outside the article and those in doubt make up the page's token stream. Streams of a host are
 searched for long stretches that distinct pages share, by :mod:`spindrift.llm.repeats`. Covered words in
-doubt are boilerplate and go, unique runs stay; ``n_boilerplate`` counts the covered words of a page's
-whole stream. Articles are left as they are: sentences that several articles of a host share are text
-of each.
+doubt are boilerplate and go, unique runs stay; ``n_boilerplate`` counts what goes. Articles are left as
+they are: sentences that several articles of a host share are text of each.
 
 Markup is read as browsers read it: a quote counts only where a value begins, and an unclosed one runs to
 the next quote or to the end. Every pattern takes time in proportion to the page.
@@ -36,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.repeats import Shape, find
+from spindrift.llm.shared import MemberFilter
 from spindrift.llm.suffix_dedup import merged
 from spindrift.session import materialise
 
@@ -199,8 +199,9 @@ _PARSED = "page_id {kind}, url string, sid binary, salt long, data binary, block
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``page_id, url, text, n_chars, n_boilerplate`` of every page; the last counts the words outside the
-    article and in doubt that other pages of the host share."""
+    """``page_id, url, text, n_chars, n_boilerplate`` of every page; the last counts the words in doubt
+    that went since other pages of the host share them. Pages without any words in doubt stay where
+    they are; they are only searched for what others share with them."""
     kind = pages.schema[page_id].dataType.simpleString()
     blocks_type = pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())]))
 
@@ -222,7 +223,11 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
     parsed = materialise(rows.mapInArrow(run, _PARSED.format(kind=kind)), "html-parsed", compression="zstd")
     spans = find(parsed.select("sid", "salt", "data"), Shape(STRETCH, STRETCH // 2, 4), across=True)
-    covered = spans.groupBy("sid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    sure = (F.size("blocks") == 1) & (F.get("blocks", F.lit(0))["at"] < 0)
+    whole = parsed.where(sure).select("page_id", "url", F.get("blocks", F.lit(0))["text"].alias("text"), F.lit(0).cast("long").alias("n_boilerplate"))
+    loose = parsed.where(~sure).select("page_id", "url", "sid", "blocks")
+    wanted = MemberFilter(loose.select("sid").distinct(), "sid").keep(spans, "sid")
+    covered = wanted.groupBy("sid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,18 +237,19 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 flags = np.zeros(ranges[-1][1] if ranges else 0, bool)
                 for a, z in ranges:
                     flags[a:z] = True
-                out = []
+                out, n = [], 0
                 for b in row["blocks"]:
                     at, kept = b["at"], b["text"]
                     if at >= 0 and flags[at:].any():
                         words = kept.split(" ")
                         own = flags[at : at + len(words)].tolist()
+                        n += sum(own)
                         kept = " ".join(w for w, f in zip(words, own + [False] * (len(words) - len(own))) if not f)
                     if kept:
                         out.append(kept)
                 texts.append("\n".join(out))
-                gone.append(int(flags.sum()))
+                gone.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["page_id", "url", "text", "n_boilerplate"])
 
-    cleaned = parsed.join(covered, "sid", "left").select("page_id", "url", "blocks", "spans").mapInArrow(unique, f"page_id {kind}, url string, text string, n_boilerplate long")
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "n_boilerplate")
+    cleaned = loose.join(covered, "sid", "left").select("page_id", "url", "blocks", "spans").mapInArrow(unique, f"page_id {kind}, url string, text string, n_boilerplate long")
+    return whole.unionByName(cleaned).withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "n_boilerplate")
