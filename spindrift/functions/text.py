@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]+|[$%().,]"
 LONE_TOKENS = ("$", "%")
 FORMULA = "[$%=]"
-#: Unicode white space.
+#: Unicode white space, as a string and inside a character class.
+SPACE_CLASS = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -56,11 +57,12 @@ def is_garbled(text: Column, threshold: float = 0.40) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+    return F.regexp_count(text, F.lit(f"[^{SPACE_CLASS}]+"))
 
 
 def has_numbers(text: Column) -> Column:
-    return F.rlike(text, F.lit(digit_class()))
+    # the class has many parts; most texts without a digit have no other number either
+    return F.rlike(text, F.lit(r"\p{N}")) & F.rlike(text, F.lit(digit_class()))
 
 
 def has_formula(text: Column) -> Column:
