@@ -135,6 +135,23 @@ def _id(line: bytes) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def line_keys(line: bytes, plans: dict[int, list[tuple[int, int, int]]]) -> list[int] | None:
+    """Hashes of a line's own segments, EDITS + 1 of them, and of the substrings that it looks up; none
+    for a short line. ``plans`` remembers what to cut from lines of a length."""
+    letters = None if line.isascii() else line.decode()
+    n = len(line) if letters is None else len(letters)
+    if n < LEAST:
+        return None
+    plan = plans.get(n)
+    if plan is None:
+        own = [(at, at + size, n * 4 + i) for i, (at, size) in enumerate(cuts(n))]
+        plan = plans[n] = own + [(at, at + size, (n - less) * 4 + i) for less, i, at, size in probes(n)]
+    digest = xxhash.xxh3_64_intdigest
+    if letters is None:
+        return [digest(line[a:z], seed) for a, z, seed in plan]
+    return [digest(letters[a:z].encode(), seed) for a, z, seed in plan]
+
+
 def _segments(rows: DataFrame) -> DataFrame:
     """(key, lid): index rows and probe rows of the distinct long lines of each task. The last bit
     of a key says that it is a probe."""
@@ -142,7 +159,6 @@ def _segments(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, list[tuple[int, int, int]]] = {}
         seen: set[int] = set()
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             keys, ids, counts = [], [], []
             texts = batch.column("text")
@@ -154,20 +170,12 @@ def _segments(rows: DataFrame) -> DataFrame:
                     if lid in seen:
                         continue
                     seen.add(lid)
-                    letters = None if line.isascii() else line.decode()
-                    n = len(line) if letters is None else len(letters)
-                    if n < LEAST:
+                    found = line_keys(line, plans)
+                    if found is None:
                         continue
-                    plan = plans.get(n)
-                    if plan is None:
-                        own = [(at, at + size, n * 4 + i) for i, (at, size) in enumerate(cuts(n))]
-                        plan = plans[n] = own + [(at, at + size, (n - less) * 4 + i) for less, i, at, size in probes(n)]
-                    if letters is None:
-                        keys.extend([digest(line[a:z], seed) for a, z, seed in plan])
-                    else:
-                        keys.extend([digest(letters[a:z].encode(), seed) for a, z, seed in plan])
+                    keys.extend(found)
                     ids.append(lid)
-                    counts.append(len(plan))
+                    counts.append(len(found))
                     if len(ids) > 20_000:
                         yield packed(keys, ids, counts)
                         keys, ids, counts = [], [], []
@@ -245,7 +253,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _across(open_rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between lines of different components under one key; see the module's description."""
+    """Links between lines of different components under one key; see the module's description.
+
+    A pair is looked at under the first key that it shares, counting those that are a segment of one of
+    the two, which any two lines within EDITS edits share.
+    """
+    plans: dict[int, list[tuple[int, int, int]]] = {}
     sized = open_rows.withColumn("block", F.expr("CAST(pmod(xxhash64(lid), blocks) AS INT)"))
     paired = sized.select("key", "lid", "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     paired = paired.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "lid", "component", "block")
@@ -257,13 +270,15 @@ def _across(open_rows: DataFrame, texts: DataFrame) -> DataFrame:
                 if row[:3] != name:
                     yield compare(name, group)
                     group, name = [], row[:3]
-                group.append((*row[3:6], row[6].decode()))
+                # keys as in _segments, without their mark
+                found = [h >> 1 for h in line_keys(row[6], plans)]
+                group.append((*row[3:6], row[6].decode(), set(found[: EDITS + 1]), set(found)))
         yield compare(name, group)
 
     def compare(name: tuple | None, group: list[tuple]) -> pa.RecordBatch:
         links: tuple[list[int], list[int]] = ([], [])
         members: dict[int, list[int]] = {}
-        for at, (_, part, _, _) in enumerate(group):
+        for at, (_, part, *_) in enumerate(group):
             members.setdefault(part, []).append(at)
         while len(members) > 1:
             # the smallest class is held against all others; what it joins goes on with it
@@ -279,7 +294,10 @@ def _across(open_rows: DataFrame, texts: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
 
     def meet(name: tuple, x: tuple, y: tuple) -> bool:
-        return name[1] == name[2] or x[2] != y[2]
+        if name[1] != name[2] and x[2] == y[2]:
+            return False
+        shared = (x[4] & y[5]) | (y[4] & x[5])
+        return bool(shared) and min(shared) == name[0] & (1 << 63) - 1
 
     held = paired.join(texts, "lid").select("key", "i", "j", "lid", "component", "block", "line")
     return held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
