@@ -107,3 +107,11 @@ def test_repeated_stretches_of_a_host(spark):
     assert out[:5] == [(i, f"{i * 7}\ntail{i}", 34) for i in range(5)]
     assert out[5:] == [(9, boiler, 0), (9, boiler, 0), (10, "", 0), (11, "", 0), (12, "x", 0)]
     assert H.extract(df.limit(0)).collect() == []
+
+
+def test_long_page_and_clashing_columns(spark):
+    body = "".join(f"<p>word{i} and more</p>" for i in range(60_000))
+    df = spark.createDataFrame([(1, "http://a.com", f"<article>{body}</article>", 3, b"x"), (2, "http://a.com", f"<div>{body}</div>", 4, b"y")], "page_id short, url string, html string, n_chars int, sid binary")
+    found = {r.page_id: r for r in H.extract(df).collect()}
+    text = "\n".join(f"word{i} and more" for i in range(60_000))
+    assert found[1].text == text and found[1].n_chars == len(text) and found[2].text == text

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -28,6 +30,36 @@ def test_viterbi_against_all_paths():
         assert tuple(langid.viterbi(scores, 2.0)[:, 0]) == best
 
 
+def test_word_scores_against_plain_counts(spark):
+    """Log probabilities of string trigrams, counted without hashing, over all training rows."""
+    r = random.Random(4)
+    word = lambda s: "".join(r.choice(s) for _ in range(r.randint(1, 6)))
+    rows = [(i, " ".join(word(s) for _ in range(60)), lang) for i, (s, lang) in enumerate([("abcde", "aa"), ("cdefg", "bb"), ("абв", "ru"), ("abcde", "aa")])]
+    known = langid.train(spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(3))
+    assert known.languages == ["aa", "bb", "ru"]
+    seen = {lang: Counter() for lang in known.languages}
+    for _, t, lang in rows:
+        for w in t.split():
+            seen[lang].update((f" {w} ")[i : i + 3] for i in range(len(w)))
+    distinct = sorted({w for _, t, _ in rows for w in t.split()})
+    found = known.word_scores(distinct)
+    for w, row in zip(distinct, found):
+        plain = []
+        for lang in known.languages:
+            total = sum(seen[lang].values()) + langid.PRIOR * langid.BUCKETS
+            own = sum(math.log((seen[lang][(f" {w} ")[i : i + 3]] + langid.PRIOR) / total) for i in range(len(w)))
+            plain.append(own if (lang == "ru") == (w[0] in "абв") else -1e4)
+        assert row == pytest.approx(np.array(plain) - max(plain), abs=1e-3)
+
+
+def test_long_text_and_clashing_columns(spark, model):
+    rows = [(1, "abcde fabcd " * 100_000, "x", [1], 0.5), (2, "mnopq", "y", [2], 0.1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, spans array<int>, score double")
+    found = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    assert found[1].lang_pred == "aa" and found[1].score == 1.0 and [tuple(s) for s in found[1].spans] == [(0, 199_999, "aa")]
+    assert found[2].lang_pred == "bb"
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     r = random.Random(1)

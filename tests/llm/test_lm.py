@@ -122,3 +122,10 @@ def test_documents_that_occur_twice(spark):
 
 def test_fold():
     assert [lm.fold(7, 2)(i) for i in (1, 2, None)] == [zlib.crc32(x) % 7 == 2 for x in (b"1", b"2", b"")]
+
+
+def test_long_text_and_clashing_columns(spark):
+    r = random.Random(5)
+    long = " ".join(f"w{r.randrange(5000)}" for _ in range(200_000))
+    df = spark.createDataFrame([(1, long, 1, b"t", 2), (2, "w1 w2", 3, b"u", 4)], "doc_id long, text string, chunk int, tokens binary, n int")
+    same(lm.score(df).collect(), brute_force([(1, long), (2, "w1 w2")], lambda i: False))

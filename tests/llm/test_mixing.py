@@ -1,5 +1,7 @@
+import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -20,6 +22,36 @@ def test_schedule_windows_and_deviation(seed):
         assert all(abs(done[z] - (now + 1) * slots[z] / period) < 1 for z in slots)
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_schedule_against_brute_force(seed):
+    """Slot by slot, of all released blocks the one that is due first, by exact fractions."""
+    r = random.Random(100 + seed)
+    slots = X.shares({f"s{i}": r.random() + 0.01 for i in range(r.randint(1, 9))}, 60)
+    done, order = dict.fromkeys(slots, 0), []
+    for now in range(60):
+        released = [s for s in slots if done[s] < slots[s] and Fraction(done[s] * 60, slots[s]) // 1 <= now]
+        s = min(released, key=lambda s: (math.ceil(Fraction((done[s] + 1) * 60, slots[s])), s))
+        order.append(s)
+        done[s] += 1
+    assert X.schedule(slots) == order
+
+
+def test_slots_of_the_query(spark, documents):
+    """Each row's slot is where its block's turn comes in the schedule, over and over."""
+    rows = X.mix_tempered(documents).collect()
+    counts = Counter(r.source for r in documents.collect() if r.source is not None)
+    weights = X.tempered(counts, 0.7)
+    order = X.schedule(X.shares(weights, X.enough_slots(weights)))
+    places = {s: [at for at, x in enumerate(order) if x == s] for s in counts}
+    assert Counter(r.source for r in rows) == Counter(r.source for r in documents.collect())
+    for s, n in counts.items():
+        own = [r for r in rows if r.source == s]
+        assert sorted(r.mix_rank for r in own) == list(range(n))
+        for r in own:
+            turn, k = divmod(r.mix_rank // 8, len(places[s]))
+            assert r.mix_slot == turn * len(order) + places[s][k]
+
+
 def test_too_many_sources():
     with pytest.raises(ValueError):
         X.shares({str(i): 1 for i in range(11)}, 10)
