@@ -38,7 +38,7 @@ CHUNK = 1_000_000
 #: Tokens up to which streams are put together, which spares calls; no more than a chunk.
 BATCH = 200_000
 #: Tokens of regions per suffix array, and regions of an anchor beyond which it is told apart.
-SHARD_TOKENS, MANY_REGIONS = 1_000_000, 2000
+SHARD_TOKENS, MANY_REGIONS = 500_000, 2000
 #: Tokens that are compared at once where more than one is alike.
 STRIDE = 32
 #: Longer content tells starts apart in this many parts.
