@@ -38,8 +38,7 @@ def sync_stream(files: DataFrame, store: SnapshotStore, checkpoint: str, version
 
 
 def event_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Windowed counts and sums per event type with a watermark; beyond what the reference engine
-    offers, for streams and tables alike."""
+    """Windowed counts and sums per event type with a watermark, for streams and tables alike."""
     return (
         events.withWatermark("ts", late)
         .groupBy(F.window("ts", width).alias("w"), "event_type")
