@@ -36,8 +36,21 @@ def build_session(app: str = "spindrift", master: str = "local[*]", **conf: str)
     return builder.getOrCreate()
 
 
+#: Bytes of rows that go to a Python worker at a time, unless the session says otherwise. Spark's own
+#: value is four times that, in the executor's memory outside of its heap and in the worker's, twice.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+def tune(spark: SparkSession) -> None:
+    """Set what this package's operators need, where the session leaves it open."""
+    key, value = BATCH_BYTES
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, value)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the workers, unless they find it where the driver does."""
+    tune(spark)
     root = Path(__file__).resolve().parent.parent
     app = spark.sparkContext.applicationId
     if app in _SHIPPED or "site-packages" in root.parts or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
