@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from spindrift.session import tune
+
 #: Encodings that a worker remembers: two generations of this many words and runs each.
 REMEMBERED = 200_000
 #: Longer ones are encoded but not remembered, in characters.
@@ -253,6 +255,7 @@ def encode_rows(docs: DataFrame, vocabulary: str, text: str = "text", decode: bo
     ``vocabulary`` is a file that the driver can read.
     """
     spark = docs.sparkSession
+    tune(spark)
     with open(vocabulary, encoding="utf-8") as file:
         spec = spark.sparkContext.broadcast(json.load(file))
     key = uuid.uuid4().hex

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from spindrift.llm.graph import components
 from spindrift.llm.repeats import Bits
 from spindrift.llm.shared import MemberFilter, attach
-from spindrift.session import materialise
+from spindrift.session import discard, materialise
 
 #: Edits that link two lines, and code points from which they do.
 EDITS, LEAST = 2, 20
@@ -309,14 +309,19 @@ def line_classes(rows: DataFrame) -> DataFrame:
     met = materialise(_met(_segments(rows)), "lines-met")
     texts = materialise(_line_texts(rows, met.select(F.explode(F.array("lid", "centre")).alias("lid")).distinct()), "lines-texts")
     stars = met.select(F.least("lid", "centre").alias("a"), F.greatest("lid", "centre").alias("b")).distinct()
-    first = components(materialise(_verified(stars, texts), "lines-links"))
+    verified = materialise(_verified(stars, texts), "lines-links")
+    first = components(verified)
     every = met.select("key", "lid").unionByName(met.select("key", F.col("centre").alias("lid"))).distinct()
     placed = every.join(first.withColumnRenamed("id", "lid"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
     several = placed.groupBy("key").agg((F.min("component") < F.max("component")).alias("open"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
     # two lines of a key have been compared already
     open_rows = placed.join(several.where("open AND n > 2"), "key").select("key", "lid", "component", "blocks")
-    links = _across(materialise(open_rows, "lines-open"), texts).unionByName(first.select(F.col("component").alias("a"), F.col("id").alias("b")))
-    return components(links).withColumnRenamed("id", "lid")
+    open_rows = materialise(open_rows, "lines-open")
+    links = _across(open_rows, texts).unionByName(first.select(F.col("component").alias("a"), F.col("id").alias("b")))
+    classes = components(links).withColumnRenamed("id", "lid")
+    for table in (met, texts, verified, open_rows):
+        discard(table)
+    return classes
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
@@ -364,6 +369,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     gone = F.when(~(F.col("doc").eqNullSafe(F.col("keep.doc")) & F.col("at").eqNullSafe(F.col("keep.at"))), F.col("at"))
     # a row's name is a hash; its identifier goes with it
     touched = materialise(judged.groupBy("rid", F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_set(gone)).alias("dropped"), F.size(F.collect_set("at")).cast("long").alias("n_linked")), "lines-touched")
+    for table in (placed, classes, named, marks):
+        discard(table)
 
     n_lines = F.expr(r"CAST(size(filter(split(coalesce(text, ''), '\n'), l -> btrim(l, ' \t\n\u000B\f\r') <> '')) AS BIGINT)")
     marked = MemberFilter(touched, "rid").mark(rows, "rid")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.graph import components
 from spindrift.llm.shared import MemberFilter, attach, own_name
-from spindrift.session import materialise
+from spindrift.session import discard, materialise
 
 BANDS, ROWS, MANTISSA = 40, 5, 10
 BUCKETS = BANDS * ROWS
@@ -42,7 +42,7 @@ LEAST_ESTIMATE = 0.6
 #: Members of a key that are compared with as many others at a time, and their shingles.
 BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
 #: Word hashes that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 _U = np.uint64
 _EMPTY = np.uint16(0xFFFF)
@@ -307,6 +307,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     # the first components stand for the first links
     joined = further.unionByName(first.select(F.col("component").alias("a"), F.col("id").alias("b"))).unionByName(bridges)
     parts = components(joined)
+    for table in (bands, shared, tried, links, open_rows):
+        discard(table)
 
     labelled = classes.select("digest", "id", "members").join(parts, "id", "left")
     labelled = labelled.select("digest", F.col("id").alias("class_id"), "members", F.coalesce("component", "id").alias("component"))

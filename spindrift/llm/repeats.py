@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.session import materialise
+from spindrift.session import discard, materialise
 
 #: Tokens that are looked at at a time; more bits than this would not fit beside a hash.
 CHUNK = 1_000_000
@@ -362,7 +362,9 @@ def find(streams: DataFrame, shape: Shape, across: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], ["key", "c"])
 
     counted = streams.mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where("c > 1")
-    repeated = spark.sparkContext.broadcast(Bits(materialise(counted.select("key"), "repeats-keys")))
+    keys = materialise(counted.select("key"), "repeats-keys")
+    repeated = spark.sparkContext.broadcast(Bits(keys))
+    discard(keys)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in keyed(batches):
@@ -480,6 +482,7 @@ def find(streams: DataFrame, shape: Shape, across: bool = False) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key", "mark", "lo", "name", "twice", "sid"])
 
+    scratch = [seen, regions, several, held]
     if many.isEmpty():
         found = materialise(compared(distinct), "repeats-found")
     else:
@@ -492,8 +495,13 @@ def find(streams: DataFrame, shape: Shape, across: bool = False) -> DataFrame:
         apart = single.join(again, ["key", "name"], "left_semi").select("key", "mark", "lo", F.col("lo").alias("hi"))
         rest = distinct.join(full, "key", "left_anti").select(distinct.columns)
         found = materialise(compared(rest).unionByName(apart), "repeats-found")
+        scratch += [distinct, full, single]
 
     last = shape.length - 1
     parts = held.select("key", "mark", "sid", "a").join(found, ["key", "mark"])
     inside = parts.select("sid", (F.col("a") + F.col("lo")).alias("first"), (F.col("a") + F.col("hi") + last).alias("last"))
-    return whole.select("sid", F.col("a").alias("first"), (F.col("b") + last).alias("last")).unionByName(inside).distinct()
+    ranges = whole.select("sid", F.col("a").alias("first"), (F.col("b") + last).alias("last")).unionByName(inside).distinct()
+    ranges = materialise(ranges, "repeats-ranges")
+    for table in (*scratch, found):
+        discard(table)
+    return ranges

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.repeats import CHUNK, Shape, anchored, find, negative_powers, power_sums
 from spindrift.llm.shared import MemberFilter, attach
-from spindrift.session import materialise
+from spindrift.session import discard, materialise
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[*b" \t\n\v\f\r"]] = True
@@ -74,7 +74,11 @@ def shared_strings(streams: DataFrame, passage: int) -> DataFrame:
     name = F.xxhash64("sid")
     repeated = materialise(placed.groupBy("key").agg((F.min(name) < F.max(name)).alias("several")).where("several").select("key"), "repeats-shared")
     hits = MemberFilter(repeated, "key").keep(placed, "key").join(repeated, "key", "left_semi")
-    return hits.select("sid", F.col("first").cast("long").alias("first"), (F.col("first") + (shape.gram - 1)).cast("long").alias("last"))
+    hits = hits.select("sid", F.col("first").cast("long").alias("first"), (F.col("first") + (shape.gram - 1)).cast("long").alias("last"))
+    hits = materialise(hits, "repeats-hits", compression="zstd")
+    discard(placed)
+    discard(repeated)
+    return hits
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -97,7 +101,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 50, doc_id
     least = min(length, 2 * passage - 1) if passage else length
     # a text with copies goes whole, so its ranges aren't needed; for others one of the copies will do
     copies = rows.where(F.length("data") >= least).groupBy("sid").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = materialise(copies, "repeats-copies")
+    copies = once = materialise(copies, "repeats-copies")
     streams = MemberFilter(copies, "sid").mark(rows.where(F.length("data") >= least), "sid")
     again = materialise(streams.where("hit").groupBy("sid").agg(F.first("data").alias("data")), "repeats-copied", compression="zstd")
     streams = streams.where("NOT hit").select("sid", "data").unionByName(again).select("sid", F.lit(0).cast("long").alias("salt"), "data")
@@ -106,14 +110,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 50, doc_id
     copies = copies.join(again.where(F.length("data") >= length), "sid", "left_semi")
     ranges = F.collect_list(F.struct("first", "last"))
     listed = spans.join(copies, "sid", "left_anti").groupBy("sid").agg(ranges.alias("spans"))
-    marks = listed.unionByName(copies, allowMissingColumns=True)
+    marks, scratch = listed.unionByName(copies, allowMissingColumns=True), [spans, again, once]
     if passage:
-        marks = marks.unionByName(shared_strings(streams, passage).groupBy("sid").agg(ranges.alias("passages")), allowMissingColumns=True)
+        shared = shared_strings(streams, passage)
+        scratch.append(shared)
+        marks = marks.unionByName(shared.groupBy("sid").agg(ranges.alias("passages")), allowMissingColumns=True)
     else:
         marks = marks.withColumn("passages", F.lit(None).cast(listed.schema["spans"].dataType))
     one = lambda c: F.first(c, ignorenulls=True).alias(c)
     marks = marks.groupBy("sid").agg(one("spans"), one("passages"), one("copies")).join(rows.groupBy("sid").agg(F.count(F.lit(1)).alias("n")), "sid")
     marks = materialise(marks.select("sid", "spans", "passages", "copies", "n"), "repeats-marks")
+    for table in scratch:
+        discard(table)
     probed = MemberFilter(marks.select("sid"), "sid").mark(rows, "sid")
     total = max(1, rows.count())
     clean = probed.where("NOT hit")
