@@ -97,11 +97,18 @@ class WordBpe:
         self.forget()
         plain = {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "decoder": None}
         self.library = Tokenizer.from_str(json.dumps(spec | plain))
-        self.odd = stdre.compile(f"[{self._odd()}]")
+        spans = self._odd()
+        self.odd = stdre.compile(self._class(spans))
+        # most texts are told by a class of few parts: these, and all code points beyond the first plane
+        self.maybe_odd = stdre.compile(self._class([s for s in spans if s[0] < 0x10000] + [[0x10000, sys.maxunicode]]))
         self.bytes_of = {c: b for b, c in enumerate(self.alphabet)}
 
-    def _odd(self) -> str:
-        """A character class of the code points whose handling depends on the version of Unicode."""
+    @staticmethod
+    def _class(spans: list[list[int]]) -> str:
+        return "[" + "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in spans) + "]"
+
+    def _odd(self) -> list[list[int]]:
+        """Ranges of the code points whose handling depends on the version of Unicode."""
         spans: list[list[int]] = []
         for c in range(sys.maxunicode + 1):
             x = chr(c)
@@ -110,7 +117,7 @@ class WordBpe:
                     spans[-1][1] = c
                 else:
                     spans.append([c, c])
-        return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in spans)
+        return spans
 
     def forget(self) -> None:
         """Give up what is remembered."""
@@ -193,7 +200,7 @@ class WordBpe:
             if special is not None:
                 out.append(struct.pack("<I", special))
                 continue
-            if not piece.isascii() and self.odd.search(piece):
+            if not piece.isascii() and self.maybe_odd.search(piece) and self.odd.search(piece):
                 out.extend(self.encode_odd(piece))
                 continue
             for run in self.runs(self.normalise(piece)):
