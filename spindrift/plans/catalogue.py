@@ -216,7 +216,7 @@ terms AS MATERIALIZED (SELECT term, df, CASE WHEN r < 0 THEN (SELECT 0.25::DOUBL
 q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOK.format(t="query")}) AS term FROM q) GROUP BY ALL),
 tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM docs) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
-scores AS MATERIALIZED (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
+scores AS MATERIALIZED (SELECT query_id, id, round(sum((qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))::DECIMAL(20, 9)), 6)::DOUBLE AS score
            FROM tf JOIN qt USING (term) JOIN terms USING (term), stats GROUP BY query_id, id),
 bm AS MATERIALIZED (SELECT query_id, id, score, rank FROM (
         SELECT q.query_id, d.id, coalesce(s.score, 0) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(s.score, 0) DESC, d.id) - 1 AS rank
