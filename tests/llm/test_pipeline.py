@@ -6,6 +6,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 from spindrift.llm import bpe, mixing  # noqa: E402
+from spindrift.session import materialise  # noqa: E402
 from test_minhash import plain as near_plain  # noqa: E402
 from test_quality import plain as quality_plain  # noqa: E402
 
@@ -78,3 +79,34 @@ def test_clashing_columns(spark, odd):
         found = stage(spark, wide, SF)
         assert found.columns == wide.columns, name
         assert all(r[c] == c for r in found.collect() for c in names if c != "mix_rank")
+
+
+def test_result_in_the_order_of_the_mixture(spark):
+    """Whatever the sizes of the mixture's files are; a scan takes the largest first."""
+    conf = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-2]:
+            docs = materialise(stage(spark, docs, SF), "stage")
+        mixed = mixing.mix_tempered(docs).collect()
+        expected = [r.doc_id for r in sorted(mixed, key=lambda r: (r.mix_slot is None, r.mix_slot, r.mix_rank))]
+        assert [r.doc_id for r in corpus_pipeline.run(spark, SF).collect()] == expected
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_documents_as_written(spark, tmp_path):
+    """Rows of files come as they were written, also with a column of the hidden one's name; an order that
+    a frame has of its own stays."""
+    df = spark.range(0, 60, 1, 6).selectExpr("(id * 37) % 60 AS doc_id", "repeat('word ', cast(1 + id * id as int)) AS text", "'en' AS lang", "'a' AS source", "'x' AS _metadata")
+    df.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    written = [i * 37 % 60 for i in range(60)]
+    ids = lambda x: [r.doc_id for r in corpus_pipeline.encode(spark, x, SF).collect()]
+    assert [r.doc_id for r in docs.collect()] != written
+    assert ids(docs) == ids(df) == written
+    assert ids(docs.orderBy("doc_id")) == list(range(60))
