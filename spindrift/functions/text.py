@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]+|[$%().,]"
 LONE_TOKENS = ("$", "%")
 FORMULA = "[$%=]"
-#: Unicode white space, as a string and inside a character class.
-SPACE_CLASS = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Unicode white space, as a string and inside a character class. Listing ranges
+#: in place of the category made counting words up to sixteen times as slow in Java.
+SPACE_CLASS = r"\s\x85\p{Z}"
 SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
