@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as X
 from spindrift.operators.dense import dense_topk
 from spindrift.operators.fusion import fused_candidates, rrf
+from spindrift.operators.joins import SMALL_ROWS, small_side
 from spindrift.operators.lexical import Bm25Index, bm25_topk, ranked
 from spindrift.operators.models import throttled
 
@@ -18,8 +19,11 @@ from spindrift.operators.models import throttled
 TOP_K, RRF_K, CANDIDATES, FINAL_K, CONTEXT_CHARS = 50, 60, 20, 5, 2000
 
 
-def fetch(candidates: DataFrame, collection: DataFrame) -> DataFrame:
-    """Candidates with their ``document``; ids without one are dropped."""
+def fetch(candidates: DataFrame, collection: DataFrame, queries: DataFrame | None = None, k: int = CANDIDATES) -> DataFrame:
+    """Candidates with their ``document``; ids without one are dropped. ``queries``, of at most ``k`` candidates
+    each, tell that the candidates are few: then they go to the documents, which stay where they are."""
+    if queries is not None:
+        candidates = small_side(candidates, SMALL_ROWS // max(1, k), bound=queries)
     return candidates.join(collection.select("id", "document"), "id")
 
 
@@ -105,7 +109,7 @@ def answer(
     column ``global_context`` goes into the prompt. Contexts are whole, those of the prompt are cut.
     """
     asked = queries.where(~X.is_blank(F.col("query")))
-    found = contexts(rerank(fetch(retrieve(asked, collection, index, top_k, rrf_k, candidates), collection), asked, final_k, score))
+    found = contexts(rerank(fetch(retrieve(asked, collection, index, top_k, rrf_k, candidates), collection, asked, candidates), asked, final_k, score))
     rows = asked.join(found, "query_id", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
     shared = F.col("global_context") if "global_context" in queries.columns else None
     done = generate(rows.withColumn("prompt", X.answer_prompt(F.col("query"), F.col("contexts"), shared, context_chars)))

@@ -271,7 +271,7 @@ def _fused(spark, sf_dir) -> DataFrame:
 
 def _reranked(spark, sf_dir) -> DataFrame:
     found = fusion.fused_candidates(_fused(spark, sf_dir))
-    return answer.rerank(answer.fetch(found, _documents(spark, sf_dir)), _questions(spark, sf_dir))
+    return answer.rerank(answer.fetch(found, _documents(spark, sf_dir), _questions(spark, sf_dir)), _questions(spark, sf_dir))
 
 
 @query(f"SELECT doc_id AS id, {_TOK.format(t='text')} AS tokens FROM documents")
@@ -322,7 +322,7 @@ def hybrid_topk(spark, sf_dir):
 @query(f"WITH {_HYBRID_SQL} SELECT query_id, id, rank::INT AS rank, d.text AS document FROM cand JOIN documents d ON d.doc_id = id")
 def fetch_candidates(spark, sf_dir):
     found = fusion.fused_candidates(_fused(spark, sf_dir))
-    return answer.fetch(found, _documents(spark, sf_dir)).select("query_id", "id", "rank", "document")
+    return answer.fetch(found, _documents(spark, sf_dir), _questions(spark, sf_dir)).select("query_id", "id", "rank", "document")
 
 
 @query(f"WITH {_HYBRID_SQL}, {_RERANK_SQL} SELECT query_id, id, rerank_score, rank::INT AS rank FROM top")

@@ -119,5 +119,5 @@ def rerank_model(spark, sf_dir):
     def make():
         return lambda pairs, batch_size: [len(d or "") + 1000 * (len(q) % 5) for q, d in pairs]
 
-    fetched = answer.fetch(fused_candidates(_fused(spark, sf_dir)), _documents(spark, sf_dir))
+    fetched = answer.fetch(fused_candidates(_fused(spark, sf_dir)), _documents(spark, sf_dir), _questions(spark, sf_dir))
     return answer.rerank(fetched, _questions(spark, sf_dir), score=answer.model_score(make)).select("query_id", "id", "rank")

@@ -135,6 +135,21 @@ def test_term_counts_are_made_in_batches(spark):
     assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_fetch_leaves_documents_where_they_are(spark):
+    """Few candidates go to the documents, whatever the optimizer takes their number for."""
+    documents = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "id int, document string")
+    queries = spark.createDataFrame([(7, "q")], "query_id int, query string")
+    candidates = spark.createDataFrame([(7, 2, 0), (7, 9, 1)], "query_id int, id int, rank int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = answer.fetch(candidates, documents, queries)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert [(r.query_id, r.id, r.document) for r in found.collect()] == [(7, 2, "two")]
+
+
 def test_dense(spark):
     space = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [3.0, 4.0]), (4, [1.0, 0.0])], "id int, embedding array<float>")
     found = dense.dense_topk(spark.createDataFrame([(7, [0.0, 0.0])], "query_id int, vector array<float>"), space, 3).orderBy("rank").collect()
